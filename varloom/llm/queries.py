@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import groupsplit, ledger, overlap
+from varloom.llm import groupsplit, leakage, ledger, mixing, overlap
 from varloom.llm.sql import ORACLE  # noqa: F401
 from varloom.support import table
 
@@ -61,6 +61,37 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(overlap.split_rows(table(spark, sf_dir, "split_rows")))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = _leaks(spark, sf_dir).filter(F.col("run") >= leakage.MIN_WORDS)
+    return exact.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item that leaked, into how many documents, exactly or with an edit."""
+    exact = F.col("run") >= leakage.MIN_WORDS
+    counts = _leaks(spark, sf_dir).groupBy("item").agg(F.count_if(exact).alias("n_exact"), F.count_if(~exact).alias("n_near"))
+    sets = table(spark, sf_dir, "eval_passages").select("item_id", "item_set")
+    return sets.join(counts, sets.item_id == counts.item).select("item_id", "item_set", "n_exact", "n_near")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = mixing.token_lengths(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return mixing.mix(lengths, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the mix and how often it appears."""
+    return _mixed(spark, sf_dir).withColumnRenamed("doc", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_calls": p1_calls,
@@ -69,4 +100,8 @@ QUERIES = {
     "p2_shares": p2_shares,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }

@@ -52,6 +52,17 @@ pairs AS (
 )
 """
 
+_PASSAGES = r"""
+doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(
+    regexp_replace(regexp_replace(text, '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g'), '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g')
+  ), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+),
+item_words AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_passages),
+doc_runs AS (SELECT doc_id, hash(w[i:i + 9]) AS h, w[i:i + 9] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM doc_words)),
+item_runs AS (SELECT item_id, hash(w[i:i + 9]) AS h, w[i:i + 9] AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM item_words))
+"""
+
 ORACLE = {
     "p1_found": f"""WITH {_CALLS} SELECT kept_id, variant_id AS copy_id FROM (
         SELECT variant_id, min(variant_id) OVER (PARTITION BY pos, sample_id, c, r, a, i) AS kept_id FROM plain) WHERE kept_id <> variant_id""",
@@ -62,4 +73,5 @@ ORACLE = {
         SELECT id, min(apart) AS apart FROM (SELECT train_id AS id, apart FROM pairs UNION ALL SELECT eval_id, apart FROM pairs) GROUP BY id)
       SELECT split_name, source, count(*) AS n_rows, count(*) FILTER (apart = 0) AS n_same, count(*) FILTER (apart = 1) AS n_near_only
       FROM changes LEFT JOIN best ON row_id = id GROUP BY ALL""",
+    "p6_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.h = i.h AND d.run = i.run",
 }
