@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import groupsplit, leakage, ledger, mixing, overlap
+from varloom.llm import groupsplit, leakage, ledger, mixing, overlap, subjects
 from varloom.llm.sql import ORACLE  # noqa: F401
 from varloom.support import table
 
@@ -92,6 +92,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.document_subjects(
+        table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas")
+    )
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters of each source by subject."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return p8_found(spark, sf_dir).join(sizes, "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_calls": p1_calls,
@@ -104,4 +117,6 @@ QUERIES = {
     "p6_items": p6_items,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
