@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.support import BROADCAST_ROWS, small
+from varloom.support import BROADCAST_ROWS, stored
 
 #: Successive words that make a leak, and edits (characters) that a near leak may hold.
 MIN_WORDS, BUDGET = 10, 1
 
 #: Times that brackets are taken off, one level of nesting each time.
-NESTING = 3
+NESTING = 2
+
+#: Documents whose words a task holds at a time.
+LOT = 500
+
+WORD = re.compile(r"[^\W_]+")
+
+HITS = pa.schema([("doc", pa.int64()), ("piece_hash", pa.int64()), *[(n, pa.list_(pa.string())) for n in ("found", "d_left", "d_right")]])
 
 
-def words(text: Column) -> Column:
+def words_in(text: str | None) -> list[str]:
     """The runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return WORD.findall(text.lower()) if text else []
 
 
 def without_brackets(text: Column) -> Column:
     """The text with what stands in round or square brackets left out, down to NESTING levels."""
     for _ in range(NESTING):
-        text = F.regexp_replace(text, r"\([^()\[\]]*\)|\[[^()\[\]]*\]", " ")
+        text = F.regexp_replace(text, r"\([^()\[\]]*+\)|\[[^()\[\]]*+\]", " ")
     return text
 
 
@@ -71,45 +84,90 @@ def _distance(size: int):
     return distance
 
 
-def _around(start: Column, all_words: Column, length: int, side: int) -> tuple[Column, Column]:
-    """The words up to `side` before and after the piece that begins at `start` (from 1)."""
-    before = F.least(start - 1, F.lit(side))
-    return F.slice(all_words, start - before, before), F.slice(all_words, start + length, F.lit(side))
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every `size` neighbouring entries; the last size - 1 places start none."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def item_pieces(items: DataFrame, item_id: str, text: str, min_words: int, budget: int) -> DataFrame:
-    """(piece_hash, item, piece, i_left, i_right): each item cut into pieces end to end.
+    """(piece_hash, item, piece, i_left, i_right): each item cut into pieces end to end, with the words beside them.
 
     A piece has min_words / (budget + 1) words, so that a run of min_words at
     the pieces' bounds holds budget + 1 of them, and one at any place holds a
     whole piece.
     """
-    size = max(1, min_words // (budget + 1))
-    w = items.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{text}`")).alias("w")).filter(F.size("w") >= min_words)
-    cut = w.select("item", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1), F.lit(size))).alias("start"))
-    left, right = _around(F.col("start"), F.col("w"), size, min_words - size)
-    piece = F.slice("w", F.col("start"), size)
-    return cut.select(F.xxhash64(piece).alias("piece_hash"), "item", piece.alias("piece"), left.alias("i_left"), right.alias("i_right"))
+    size, side = piece_size(min_words, budget), min_words - piece_size(min_words, budget)
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for item, text in zip(pdf["item"], pdf["text"]):
+                w = words_in(text)
+                for at in range(0, len(w) - size + 1, size) if len(w) >= min_words else ():
+                    piece = w[at : at + size]
+                    value = run_hashes(np.array([zlib.crc32(x.encode()) for x in piece], np.uint64), size).view(np.int64)[0]
+                    rows.append((value, item, piece, w[max(0, at - side) : at], w[at + size : at + size + side]))
+            yield pd.DataFrame(rows, columns=["piece_hash", "item", "piece", "i_left", "i_right"])
+
+    schema = "piece_hash long, item long, piece array<string>, i_left array<string>, i_right array<string>"
+    return items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, schema)
+
+
+def piece_size(min_words: int, budget: int) -> int:
+    return max(1, min_words // (budget + 1))
 
 
-def piece_hits(docs: DataFrame, pieces: DataFrame, min_words: int, size: int) -> DataFrame:
+def piece_hits(docs: DataFrame, pieces: DataFrame, size: int, side: int) -> DataFrame:
     """(doc, item, i_left, piece, i_right, d_left, d_right) wherever a piece stands in a document.
 
-    `docs` is (doc, w). Every run of `size` words is hashed and looked up in the
-    pieces: in a broadcast table if their count allows, in one pass over the
-    text; otherwise by a shuffle join of hashes only, after which the hits fetch
-    their words from the documents again. Hash hits are compared word by word.
+    `docs` is (doc, text). The words of each text are hashed, neighbouring
+    hashes are combined over whole batches at once, and only runs whose hash is
+    a piece's leave the task, with the words beside them. The pieces' hashes go
+    along to the tasks while a count shows them to be few; beyond that every
+    run goes to a shuffle join. Hash hits are compared word by word.
     """
-    sought = docs.filter(F.size("w") >= size)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.xxhash64(F.slice("w", i, size)))
-    if pieces.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        runs = sought.select("doc", "w", F.posexplode(hashes).alias("at", "piece_hash"))
-        hits = runs.join(F.broadcast(pieces), "piece_hash")
-    else:
-        runs = sought.select("doc", F.posexplode(hashes).alias("at", "piece_hash"))
-        hits = runs.join(pieces, "piece_hash").join(docs, "doc")
-    left, right = _around(F.col("at") + 1, F.col("w"), size, min_words - size)
-    return hits.filter(F.slice("w", F.col("at") + 1, size) == F.col("piece")).select("doc", "item", "i_left", "piece", "i_right", left.alias("d_left"), right.alias("d_right"))
+    few = pieces.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = np.array(sorted(r[0] for r in pieces.select("piece_hash").distinct().collect()), np.int64) if few else None
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            for at in range(0, len(ids), LOT):
+                if len(known) > 500_000:
+                    known.clear()
+                split = [words_in(t) for t in texts[at : at + LOT]]
+                hashes = []
+                for w in split:
+                    for x in w:
+                        h = known.get(x)
+                        if h is None:
+                            h = known[x] = zlib.crc32(x.encode())
+                        hashes.append(h)
+                ends = np.cumsum([len(w) for w in split])
+                runs = run_hashes(np.array(hashes, np.uint64), size).view(np.int64)
+                places = np.arange(len(runs))
+                if wanted is not None:
+                    near = np.minimum(np.searchsorted(wanted, runs), max(0, len(wanted) - 1))
+                    places = places[wanted[near] == runs] if len(wanted) else places[:0]
+                of = np.searchsorted(ends, places, side="right")
+                inside = places + size <= ends[of] if len(places) else np.zeros(0, bool)
+                rows = []
+                for place, doc in zip(places[inside].tolist(), of[inside].tolist()):
+                    w = split[doc]
+                    i = place - int(ends[doc]) + len(w)
+                    rows.append((ids[at + doc], int(runs[place]), w[i : i + size], w[max(0, i - side) : i], w[i + size : i + size + side]))
+                columns = list(zip(*rows)) if rows else [[] for _ in HITS]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, HITS.types)], schema=HITS)
+
+    hits = docs.mapInArrow(find, "doc long, piece_hash long, found array<string>, d_left array<string>, d_right array<string>")
+    joined = hits.join(F.broadcast(pieces) if few else pieces, "piece_hash")
+    return joined.filter(F.col("found") == F.col("piece")).select("doc", "item", "i_left", "piece", "i_right", "d_left", "d_right")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -123,9 +181,11 @@ def leaked_passages(
 ) -> DataFrame:
     """(doc, item, run, distance): every document and item that share a passage.
 
-    Each item is split into pieces, exact hits of pieces are found in the
-    corpus, and Myers' bit-parallel distance verifies the min_words words round
-    each hit: a pair stays if some run of that many item words stands in the
+    Each item is split into pieces and exact hits of pieces are found in the
+    corpus. An edit changes two words at most (a space lost or gained), so a hit
+    goes on only if all but 2 * budget of the other words of a run stand beside
+    it. Myers' bit-parallel distance then verifies the min_words words round it:
+    a pair stays if some run of that many item words stands in the
     document with at most `budget` edits. `distance` is the least found, `run`
     the longest run of equal words seen round a hit, up to twice min_words less
     a piece. Passages of min_words equal words are all found; with edits, all
@@ -137,10 +197,13 @@ def leaked_passages(
     texts are taken whole, of any length. A hot passage meets no shuffle before
     its hits are verified.
     """
-    size = max(1, min_words // (budget + 1))
-    pieces = item_pieces(items, item_id, item_text, min_words, budget)
-    docs = corpus.select(F.col(f"`{doc_id}`").alias("doc"), words(without_brackets(F.col(f"`{text}`"))).alias("w"))
-    hits = piece_hits(docs, pieces, min_words, size)
+    size = piece_size(min_words, budget)
+    pieces = stored(item_pieces(items, item_id, item_text, min_words, budget))
+    docs = corpus.select(F.col(f"`{doc_id}`").alias("doc"), without_brackets(F.col(f"`{text}`")).alias("text"))
+    hits = piece_hits(docs, pieces, size, min_words - size)
+    context = F.concat("d_left", "d_right")
+    known = F.size(F.filter(F.concat("i_left", "i_right"), lambda x: F.array_contains(context, x)))
+    hits = hits.filter(known >= min_words - size - 2 * budget)
     run = F.lit(size) + _same(F.reverse("i_left"), F.reverse("d_left")) + _same(F.col("i_right"), F.col("d_right"))
     near = _distance(min_words)("i_left", "piece", "i_right", F.concat("d_left", "piece", "d_right"))
     checked = hits.select("doc", "item", run.alias("run"), near.alias("distance")).filter(F.col("distance") <= budget)
