@@ -15,24 +15,13 @@ OPEN, CLOSE = "\ue000", "\ue001"
 PROTECTED = rf"\"[^\"]*\"|'[^']*'|<[^>]*>|[{OPEN}{CLOSE}]"
 
 
-def _with_placeholders(text: Column) -> tuple[Column, Column]:
-    """The text with each protected span replaced by its index, and the spans."""
-    spans = F.regexp_extract_all(text, F.lit(f"({PROTECTED})"), F.lit(1))
-    between = F.split(text, PROTECTED, -1)
-    marked = F.transform(
-        between,
-        lambda piece, i: F.when(i < F.size(spans), F.concat(piece, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(piece),
-    )
-    return F.concat_ws("", marked), spans
-
-
 def _restored(value: Column, spans: Column) -> Column:
     """The value with every placeholder looked up again in the array of spans."""
 
     def piece(p: Column, i: Column) -> Column:
         index = F.substring_index(p, CLOSE, 1).cast("int")
         rest = F.substring(p, F.length(F.substring_index(p, CLOSE, 1)) + F.lit(2), F.length(p))
-        return F.when(i == 0, p).otherwise(F.concat(F.get(spans, index), rest))
+        return F.when(i == 0, p).otherwise(F.concat(_unquoted(F.get(spans, index)), rest))
 
     return F.concat_ws("", F.transform(F.split(value, OPEN, -1), piece))
 
@@ -71,15 +60,20 @@ def explode_packed(
     padded = f"{SPACE}*[{seps}]{SPACE}*"
     source = df.select(*kept_columns(keep, {position, value}), F.col(f"`{column}`").cast("string").alias("__cell"))
     names = source.columns[:-1]
-    text, spans = _with_placeholders(F.col("__cell"))
-    marked = source.filter(F.col("__cell").isNotNull()).select(*[F.col(f"`{n}`") for n in names], text.alias("__text"), spans.alias("__raw"))
+    kept = [F.col(f"`{n}`") for n in names]
+    # the spans are a column of their own that the next step reads twice, so that a cell is matched once and not once a span
+    matched = source.filter(F.col("__cell").isNotNull()).select(
+        *kept, F.split("__cell", PROTECTED, -1).alias("__between"), F.regexp_extract_all("__cell", F.lit(f"({PROTECTED})"), F.lit(1)).alias("__raw")
+    )
+    last = F.size("__raw")
+    placeholders = F.transform("__between", lambda piece, i: F.when(i < last, F.concat(piece, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(piece))
+    marked = matched.select(*kept, F.array_join(placeholders, "").alias("__text"), "__raw")
     trimmed = F.regexp_replace(trim_space(F.col("__text")), rf"{SPACE}*[{seps}]\z", "")
-    spans = F.transform("__raw", _unquoted)
-    values = F.transform(F.split(trimmed, f"{padded}|{SPACE}+", -1), lambda v: trim_space(_restored(v, spans)))
-    split = marked.select(*[F.col(f"`{n}`") for n in names], values.alias("__values"))
+    values = F.transform(F.split(trimmed, f"{padded}|{SPACE}+", -1), lambda v: trim_space(_restored(v, F.col("__raw"))))
     if min_values > 1:
-        split = split.filter(F.size(F.filter("__values", lambda v: v != "")) >= min_values)
-    rows = split.select(*[F.col(f"`{n}`") for n in names], F.posexplode("__values").alias("__place", "__value"))
+        values = F.when(F.size(F.filter(values, lambda v: v != "")) >= min_values, values)
+    # the outer form, since for the inner one the optimizer would test the arrays' size on top of the scan and so build them twice
+    rows = marked.select(*kept, values.alias("__values")).select(*kept, F.posexplode_outer("__values").alias("__place", "__value"))
     return rows.filter(F.col("__value") != "").select(
-        *[F.col(f"`{n}`") for n in names], (F.col("__place") + 1).cast("long").alias(position), F.col("__value").alias(value)
+        *kept, (F.col("__place") + 1).cast("long").alias(position), F.col("__value").alias(value)
     )
