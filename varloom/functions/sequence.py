@@ -83,7 +83,7 @@ def parsed_mutation(marked: Column) -> dict[str, Column]:
     bases round one change; a base outside ACGT cuts head and tail short.
     """
     chunks = F.split(F.upper(marked), r"\|", -1)
-    at = F.filter(F.sequence(F.lit(0), F.size(chunks) - 1), lambda i: F.instr(F.get(chunks, i), "/") > 0)
+    at = F.filter(F.transform(chunks, lambda x, i: F.when(F.instr(x, "/") > 0, i)), lambda i: i.isNotNull())
     index = F.when(F.size(at) == 1, F.get(at, F.lit(0)))
     chunk = F.get(chunks, index)
     ok = chunk.rlike(MUTATED)
@@ -107,10 +107,15 @@ def window(m: dict[str, Column], base: str) -> Column:
     return F.concat(F.right(m["head"], F.lit(FLANK)), m[base], F.left(m["tail"], F.lit(FLANK)))
 
 
-def hit_positions(seq: Column, width: int, is_hit) -> Column:
-    """The 1-based places of a sequence at which a word of that width is a hit."""
-    places = F.when(F.length(seq) >= width, F.sequence(F.lit(1), F.length(seq) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: is_hit(seq, i))
+def _letters(seq: Column, width: int) -> list[Column]:
+    """For each place of a word, the array of the letters that stand there in the words of that width, first word first."""
+    chars, n = F.split(seq, ""), F.greatest(F.lit(0), F.length(seq) - (width - 1))
+    return [F.slice(chars, 1 + k, n) for k in range(width)]
+
+
+def _places(values: Column, is_hit) -> Column:
+    """The 1-based places of an array at which its values are hits."""
+    return F.array_compact(F.transform(values, lambda x, i: F.when(is_hit(x), i + 1)))
 
 
 def lost_gained(old: Column, new: Column) -> tuple[Column, Column]:
@@ -132,38 +137,49 @@ def motif_list(motifs: DataFrame, column: str, width: int, limit: int = 100_000)
 
 
 def motif_hits(motifs: list[str], width: int):
-    """A test for hit_positions: the word stands in the set of motifs (a hash set in the plan)."""
-    if not motifs:
-        return lambda seq, i: F.lit(False)
-    return lambda seq, i: F.substring(seq, i, F.lit(width)).isin(motifs)
+    """A function from a sequence to the places at which one of the motifs begins.
+
+    The words are put together letter by letter over the whole sequence, in
+    time that grows with its length, and looked up in a hash set in the plan.
+    """
+
+    def places(seq: Column) -> Column:
+        first, *rest = _letters(seq, width)
+        words = first
+        for letters in rest:
+            words = F.zip_with(words, letters, lambda a, b: F.concat(a, b))
+        return _places(words, lambda w: w.isin(motifs) if motifs else F.lit(False))
+
+    return places
 
 
 def matrix_hits(name: str):
-    """A test for hit_positions: the word's weights add up to the matrix's threshold."""
+    """A function from a sequence to the places at which the word's weights reach the matrix's threshold."""
     threshold, weights = MATRICES[name]
-    places = len(weights["A"])
 
-    def is_hit(seq: Column, i: Column) -> Column:
-        total = F.lit(0.0)
-        for k in range(places):
-            base = F.substring(seq, i + k, F.lit(1))
-            weight = F.when(base == "A", weights["A"][k]).when(base == "C", weights["C"][k]).when(base == "G", weights["G"][k]).when(base == "T", weights["T"][k])
-            total = total + weight
-        return F.round(total, 6) >= threshold
+    def weight(k: int):
+        return lambda b: F.when(b == "A", weights["A"][k]).when(b == "C", weights["C"][k]).when(b == "G", weights["G"][k]).when(b == "T", weights["T"][k])
+
+    def places(seq: Column) -> Column:
+        totals = None
+        for k, letters in enumerate(_letters(seq, len(weights["A"]))):
+            part = F.transform(letters, weight(k))
+            totals = part if totals is None else F.zip_with(totals, part, lambda a, b: a + b)
+        return _places(totals, lambda t: F.round(t, 6) >= threshold)
 
-    return is_hit
+    return places
 
 
-def motif_feature(m: dict[str, Column], tests: list[tuple[int, object]]) -> dict[str, Column]:
-    """n_old, n_lost, n_gained over several tests, and their shares `lost` and `gained`.
+def motif_feature(m: dict[str, Column], finders: list) -> dict[str, Column]:
+    """n_old, n_lost, n_gained over several finders of hits, and their shares `lost` and `gained`.
 
     n_old counts hits in the whole mutated chunk, lost and gained the places of
     the window that are hits before or after the change only.
     """
     totals = [F.lit(0), F.lit(0), F.lit(0)]
-    for width, test in tests:
-        lost, gained = lost_gained(hit_positions(window(m, "ref"), width, test), hit_positions(window(m, "alt"), width, test))
-        totals = [a + b for a, b in zip(totals, [F.size(hit_positions(exon_old(m), width, test)), lost, gained])]
+    for find in finders:
+        lost, gained = lost_gained(find(window(m, "ref")), find(window(m, "alt")))
+        totals = [a + b for a, b in zip(totals, [F.size(find(exon_old(m))), lost, gained])]
     n_old, n_lost, n_gained = [F.when(m["ref"].isNotNull(), t) for t in totals]
     return {"n_old": n_old, "n_lost": n_lost, "n_gained": n_gained, "lost": share(n_lost, n_old), "gained": share(n_gained, n_old)}
 

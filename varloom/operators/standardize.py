@@ -11,13 +11,18 @@ def standardized(df: DataFrame, features: list[str], control: DataFrame | None =
     """df with each feature as (x - mean) / std of the control's rows, or of its own.
 
     std is the population's; a feature of no spread becomes 0 and null stays
-    null. The statistics are one row, which goes to the tasks as a broadcast.
+    null. The statistics, two numbers per feature, become part of the plan.
     """
     source = df if control is None else control
-    stats = source.agg(*[g(F.col(f)).alias(f"__{n}_{f}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))])
-    joined = df.join(F.broadcast(stats))
-    z = lambda f: F.when(F.col(f"__s_{f}") == 0, F.when(F.col(f).isNotNull(), 0.0)).otherwise((F.col(f) - F.col(f"__m_{f}")) / F.col(f"__s_{f}"))
-    return joined.select(*[z(c).alias(c) if c in features else F.col(c) for c in df.columns])
+    stats = source.agg(*[g(F.col(f)).alias(f"{n}_{f}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+
+    def z(f: str) -> Column:
+        mean, std = stats[f"m_{f}"], stats[f"s_{f}"]
+        if not std:
+            return F.when(F.col(f).isNotNull(), F.lit(0.0))
+        return (F.col(f) - F.lit(mean)) / F.lit(std)
+
+    return df.select(*[z(c).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
 def feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
