@@ -47,7 +47,7 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str) -> None:
     """A tab-separated table with a header that starts with `#`; nothing is done where it stands already."""
     first, *rest = df.columns
-    df.select(F.col(f"`{first}`").alias(f"#{first}"), *[F.col(f"`{c}`") for c in rest]).write.mode("ignore").option("sep", "\t").option("header", True).option("nullValue", "na").csv(path)
+    df.select(F.col(f"`{first}`").alias(f"#{first}"), *[F.col(f"`{c}`") for c in rest]).write.mode("ignore").option("sep", "\t").option("header", True).option("comment", "\u0001").option("nullValue", "na").csv(path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
