@@ -28,6 +28,12 @@ FIT_SENTENCES = 60
 #: Strength of the quadratic penalty and number of steps of a fit.
 PENALTY, STEPS = 5e-5, 120
 
+#: Least threshold. Below it a sentence of common words alone could pass where subjects are few.
+LOWEST = -0.5
+
+#: Score above the threshold that a sentence needs while only the samples have been learned from.
+SURER = 1.0
+
 #: Rounds of weak labelling after the fit on the labelled samples.
 ROUNDS = 2
 
@@ -108,14 +114,21 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def logistic(bounds: np.ndarray, index: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and offset of a penalised logistic regression on rows of present features (adaptive gradient steps)."""
+def logistic(
+    bounds: np.ndarray, index: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, steps: int = STEPS, penalty: float = PENALTY
+) -> tuple[np.ndarray, float]:
+    """Weights and offset of a penalised logistic regression on rows of present features (adaptive gradient steps).
+
+    `share` is how much each row counts, 1 on average.
+    """
+    counts = 1.0 if share is None else share
     present, local = np.unique(index, return_inverse=True)
     w, g2 = np.zeros(len(present)), np.full(len(present), 1e-8)
     b, gb2, n = -2.0, 1e-8, max(1, len(y))
     rows = np.repeat(np.arange(len(y)), np.diff(bounds))
     for _ in range(steps):
         off = 1 / (1 + np.exp(-np.clip(_sums(w[local], bounds) + b, -30, 30))) - y
+        off = off * counts
         g = np.bincount(local, weights=off[rows], minlength=len(present)) / n + penalty * w
         gb = off.sum() / n
         g2 += g * g
@@ -128,11 +141,11 @@ def logistic(bounds: np.ndarray, index: np.ndarray, y: np.ndarray, steps: int =
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The score from which on calling a row positive gives the best F1; no more than 0 and no less than -1."""
+    """The score from which on calling a row positive gives the best F1, between LOWEST and 0."""
     order = np.argsort(-score, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1.0, y.sum()))
-    return float(np.clip(score[order][int(np.argmax(f1))], -1.0, 0.0)) if len(y) else 0.0
+    return float(np.clip(score[order][int(np.argmax(f1))], LOWEST, 0.0)) if len(y) else 0.0
 
 
 def fit(rows: DataFrame, subjects: list[str]) -> dict[str, tuple[np.ndarray, float, float]]:
@@ -140,8 +153,9 @@ def fit(rows: DataFrame, subjects: list[str]) -> dict[str, tuple[np.ndarray, flo
 
     One row is one sentence. The rows are bounded by the samples and by
     FIT_DOCUMENTS, so each subject's classifier against the rest is fitted in a
-    task of its own. A fifth of the rows is held out; on it each threshold is
-    calibrated. What comes back is one array of FEATURES weights per subject.
+    task of its own. Labels count alike however many rows they have, so that a
+    frequent subject does not draw common words to itself. A fifth of the rows
+    is held out; on it each threshold is calibrated. What comes back is one array of FEATURES weights per subject.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,9 +164,11 @@ def fit(rows: DataFrame, subjects: list[str]) -> dict[str, tuple[np.ndarray, flo
         index = np.concatenate(pdf.feats.tolist()).astype(np.int64) if len(pdf) else np.zeros(0, np.int64)
         y = (pdf.label == subject).to_numpy().astype(float)
         held = pdf.held.to_numpy()
+        of_label = pdf.label.map(pdf.label.value_counts()).to_numpy()
+        share = len(pdf) / (pdf.label.nunique() * of_label)
         lengths = np.diff(bounds)
         kept = np.repeat(~held, lengths)
-        w, b = logistic(np.concatenate([[0], np.cumsum(lengths[~held])]), index[kept], y[~held])
+        w, b = logistic(np.concatenate([[0], np.cumsum(lengths[~held])]), index[kept], y[~held], share[~held])
         threshold = best_threshold((_sums(w[index], bounds) + b)[held], y[held])
         return pd.DataFrame({"subject": [subject], "weights": [w.astype(np.float32).tobytes()], "offset": [b], "threshold": [threshold]})
 
@@ -254,7 +270,7 @@ def document_subjects(
     picked = stored(fit_sample(corpus, doc_id, text, lang, fit_documents))
     sample = stored(featured(picked, "doc", "text"))
     for n in range(rounds):
-        counted = count_sentences(picked, "doc", "text", model, subjects, extra=0.5 if n == 0 else 0.0)
+        counted = count_sentences(picked, "doc", "text", model, subjects, extra=SURER if n == 0 else 0.0)
         weak = counted.select("doc", weak_label(subjects).alias("label")).filter("label IS NOT NULL")
         more = sample.join(weak, "doc").select("doc", "label", F.explode(F.slice("feats", 1, FIT_SENTENCES)).alias("feats")).filter(F.size("feats") > 0)
         rows = seed.unionByName(more).select("feats", "label", held("doc").alias("held"))
