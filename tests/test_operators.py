@@ -90,8 +90,7 @@ def test_codons(spark):
 
 
 def parts(spark, *marked):
-    df = spark.createDataFrame([(m,) for m in marked], "m string")
-    return df.select("m", *[c.alias(n) for n, c in sequence.parsed_mutation(F.col("m")).items()])
+    return sequence.with_parts(spark.createDataFrame([(m,) for m in marked], "m string"), "m")[0]
 
 
 def test_mutation_string_and_parts(spark):

@@ -76,15 +76,22 @@ def mutation_string(premrna: Column, edges: Column, offset: Column, ref: Column,
     return F.when(F.substring(premrna, offset + 1, F.lit(1)) == ref, F.array_join(F.zip_with(starts, ends, chunk), "|"))
 
 
-def parsed_mutation(marked: Column) -> dict[str, Column]:
+def chunks_of(marked: Column) -> Column:
+    return F.split(F.upper(marked), r"\|", -1)
+
+
+def mutated_chunk(chunks: Column) -> Column:
+    """The 0-based number of the one chunk that holds a change; null where none or several do."""
+    at = F.filter(F.transform(chunks, lambda x, i: F.when(F.instr(x, "/") > 0, i)), lambda i: i.isNotNull())
+    return F.when(F.size(at) == 1, F.get(at, F.lit(0)))
+
+
+def mutation_parts(chunks: Column, index: Column) -> dict[str, Column]:
     """head, ref, alt and tail of the mutated chunk, and the chunks before and after it.
 
-    All are null where there is not exactly one mutated chunk that reads as
-    bases round one change; a base outside ACGT cuts head and tail short.
+    All are null where the chunk does not read as bases round one change; a
+    base outside ACGT cuts head and tail short.
     """
-    chunks = F.split(F.upper(marked), r"\|", -1)
-    at = F.filter(F.transform(chunks, lambda x, i: F.when(F.instr(x, "/") > 0, i)), lambda i: i.isNotNull())
-    index = F.when(F.size(at) == 1, F.get(at, F.lit(0)))
     chunk = F.get(chunks, index)
     ok = chunk.rlike(MUTATED)
     part = lambda k: F.when(ok, F.regexp_extract(chunk, MUTATED, k))
@@ -98,6 +105,18 @@ def parsed_mutation(marked: Column) -> dict[str, Column]:
     }
 
 
+def with_parts(df: DataFrame, marked: str) -> tuple[DataFrame, dict[str, Column]]:
+    """df with the parts of its mutations as columns, and those columns by name.
+
+    Chunks and their number are columns first, so that they are made once a row.
+    """
+    kept = [F.col(c) for c in df.columns]
+    split = df.select(*kept, chunks_of(F.col(marked)).alias("__chunks"))
+    found = split.select(*kept, "__chunks", mutated_chunk(F.col("__chunks")).alias("__index"))
+    parts = mutation_parts(F.col("__chunks"), F.col("__index"))
+    return found.select(*kept, *[c.alias(n) for n, c in parts.items()]), {n: F.col(n) for n in parts}
+
+
 def exon_old(m: dict[str, Column]) -> Column:
     return F.concat(m["head"], m["ref"], m["tail"])
 

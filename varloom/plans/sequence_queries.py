@@ -42,9 +42,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
     """The mutations with their parts as columns, and those columns by name."""
-    parts = sequence.parsed_mutation(F.col("marked"))
-    df = mutations(spark, sf_dir).select("doc_id", "marked", *[c.alias(n) for n, c in parts.items()])
-    return df, {n: F.col(n) for n in parts}
+    return sequence.with_parts(mutations(spark, sf_dir), "marked")
 
 
 def src_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
