@@ -20,8 +20,13 @@ def plain(text):
 
 
 def brute(docs, items, n=10):
-    runs = {i: {tuple(w[k : k + n]) for w in [plain(t)] for k in range(len(w) - n + 1)} for i, t in items}
-    return {(d, i) for d, t, *_ in docs for i in runs if runs[i] & {tuple(w[k : k + n]) for w in [plain(t)] for k in range(len(w) - n + 1)}}
+    runs_of = lambda t: {tuple(w[k : k + n]) for w in [plain(t)] for k in range(len(w) - n + 1)}
+    of_item = {i: runs_of(t) for i, t in items}
+    out = set()
+    for d, text, *_ in docs:
+        runs = runs_of(text)
+        out |= {(d, i) for i in of_item if of_item[i] & runs}
+    return out
 
 
 def test_passages_against_brute_force(spark):
