@@ -85,4 +85,5 @@ def test_logistic_separates(steps):
     w, b = subjects.logistic(np.arange(0, 802, 2), index, y.astype(float), steps=steps)
     scores = subjects._sums(w[index], np.arange(0, 802, 2)) + b
     assert ((scores > 0) == (y == 1)).all()
-    assert subjects.best_threshold(np.array([3.0, -0.5, -2.0]), np.array([1, 1, 0])) == -0.5
+    assert subjects.best_threshold(np.array([3.0, -0.125, -2.0]), np.array([1, 1, 0])) == -0.125
+    assert subjects.best_threshold(np.array([3.0, -0.9, -2.0]), np.array([1, 1, 0])) == subjects.LOWEST

@@ -29,7 +29,7 @@ FIT_SENTENCES = 60
 PENALTY, STEPS = 5e-5, 120
 
 #: Least threshold. Below it a sentence of common words alone could pass where subjects are few.
-LOWEST = -0.5
+LOWEST = -0.25
 
 #: Score above the threshold that a sentence needs while only the samples have been learned from.
 SURER = 1.0
