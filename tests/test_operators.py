@@ -43,6 +43,23 @@ def test_curves(spark):
     assert ranking.area(curve, "m", "x", "y", 15.0).first().area == 100.0
 
 
+def test_curves_have_every_cutoff(spark, tmp_path, monkeypatch):
+    from varloom.plans import model_queries
+
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    rng = random.Random(5)
+    data = [(i, "ab"[i % 4 == 0], rng.randint(0, 1), rng.choice([None, *map(float, range(90))]), i) for i in range(300)]
+    made = spark.createDataFrame(data, "row_id long, source string, label_class int, score double, pos long").withColumn("split_name", F.lit("x"))
+    made.write.parquet(f"{tmp_path}/split_rows.parquet")
+    ranks = {s: [r["rank"] for r in model_queries.rank_in_source(spark, str(tmp_path)).collect() if data[r.row_id][1:3] == (s, 1) and r["rank"]] for s in "ab"}
+    last = max(sum(d[1] == s and d[3] is not None for d in data) for s in "ab") - 1
+    got = {r.k: r.mean_hits for r in model_queries.rank_recall_split_all(spark, str(tmp_path)).collect()}
+    assert got == {k: sum(x <= k for s in "ab" for x in ranks[s]) / 2 for k in range(1, last + 1)} and last > model_queries.CUTOFFS
+    cases = model_queries.rank_against_control(spark, str(tmp_path)).collect()
+    each = {(r.source, r.k): r.hits for r in model_queries.rank_recall_each_all(spark, str(tmp_path)).collect()}
+    assert each == {(s, k): sum(r.source == s and r["rank"] is not None and r["rank"] <= k for r in cases) for s in "ab" for k in range(1, sum(r.source == s for r in cases) + 1)}
+
+
 def test_points_in_intervals(spark):
     rng = random.Random(1)
     points = [(i, rng.choice("xy"), rng.randint(0, 3000)) for i in range(300)] + [(900, None, 5), (901, "x", None)]

@@ -11,6 +11,9 @@ from varloom.support import small
 #: Ranges of the score in which ranks are summed up before they are put together.
 RANGES = 64
 
+#: Cutoffs that one task of a whole curve runs through.
+BLOCK = 65_536
+
 # Least scores of the labels.
 LIKELY, POTENTIALLY = 0.48, 0.28
 
@@ -87,6 +90,26 @@ def recall_curve(ranked: DataFrame, replicate: str, rank: str, cutoffs: int) ->
     return hits_at_cutoffs(ranked, replicate, rank, cutoffs).groupBy("k").agg(F.avg("hits").alias("mean_hits"))
 
 
+def hits_at_all_cutoffs(ranked: DataFrame, ends: DataFrame, replicate: str, rank: str) -> DataFrame:
+    """(replicate, k, hits): the rows of each replicate with a rank of at most k, for k from 1 to its own `end` in ends (replicate, end).
+
+    Curves are cut into blocks of cutoffs; the running sum is taken within a
+    block and the hits of the blocks before are added, so that no task holds a
+    whole curve.
+    """
+    block = F.floor((F.col("k") - 1) / BLOCK).cast("long").alias("block")
+    blocks = ends.filter("end >= 1").select(replicate, "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1) / BLOCK).cast("long"))).alias("block"))
+    grid = blocks.repartition(replicate, "block").select(replicate, F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("end", (F.col("block") + 1) * BLOCK))).alias("k"), "block", F.lit(0).cast("long").alias("n"))
+    counts = ranked.filter(F.col(rank).isNotNull()).groupBy(replicate, F.greatest(F.lit(1), F.ceil(rank)).cast("long").alias("k")).agg(F.count("*").alias("n")).select(replicate, "k", block, "n")
+    totals = blocks.select(replicate, "block", F.lit(0).cast("long").alias("n")).unionByName(counts.select(replicate, "block", "n")).groupBy(replicate, "block").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy(replicate).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(replicate, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    running = Window.partitionBy(replicate, "block").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
+    both = grid.withColumn("asked", F.lit(True)).unionByName(counts.withColumn("asked", F.lit(False)))
+    within = both.withColumn("within", F.sum("n").over(running)).filter("asked")
+    return within.join(small(offsets), [replicate, "block"], "left").select(replicate, "k", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("hits"))
+
+
 def reciprocal_rank(df: DataFrame, ranks: list[str]) -> Column:
     """The mean of 1 / rank over several models."""
     total = F.lit(0.0)

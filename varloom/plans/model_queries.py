@@ -12,7 +12,7 @@ from varloom.support import table
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
-#: Ranks that curves go up to.
+#: Ranks that curves go up to in the queries whose SQL ends there; rank_recall_split_all and rank_recall_each_all have no such end.
 CUTOFFS = 60
 
 
@@ -53,6 +53,22 @@ def rank_recall_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.hits_at_cutoffs(rank_against_control(spark, sf_dir), "source", "rank", CUTOFFS)
 
 
+def rank_recall_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall curve over every cutoff, up to one less than the ranked rows of the largest source; smaller sources keep all their hits."""
+    ranked = ranking.average_rank(_scored(spark, sf_dir), "score", ["source"])
+    sources = ranked.groupBy("source").agg(F.count("rank").alias("n"), F.count_if(F.col("label_class") == 1).alias("positives")).filter("positives > 0")
+    ends = sources.agg((F.max("n") - 1).alias("end"), F.count("*").alias("replicates")).withColumn("every", F.lit(0))
+    positives = ranked.filter("label_class = 1").withColumn("every", F.lit(0))
+    hits = ranking.hits_at_all_cutoffs(positives, ends.select("every", "end"), "every", "rank")
+    return hits.join(F.broadcast(ends.select("every", "replicates")), "every").select("k", F.round(F.col("hits") / F.col("replicates"), 9).alias("mean_hits"))
+
+
+def rank_recall_each_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leave-one-out curve over every cutoff, up to the number of positives of the source."""
+    cases = rank_against_control(spark, sf_dir)
+    return ranking.hits_at_all_cutoffs(cases, cases.groupBy("source").agg(F.count("*").alias("end")), "source", "rank")
+
+
 def rank_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' ranks joined into the mean of their reciprocals."""
     both = ranking.average_rank(ranking.average_rank(_scored(spark, sf_dir), "score", [], "first_rank"), "second", [], "second_rank")
@@ -151,7 +167,7 @@ def ml_without_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rank_report, rank_top, rank_in_source, rank_against_control, rank_recall_split, rank_recall_each, rank_reciprocal, rank_area, rank_cdf,
+        rank_report, rank_top, rank_in_source, rank_against_control, rank_recall_split, rank_recall_each, rank_recall_split_all, rank_recall_each_all, rank_reciprocal, rank_area, rank_cdf,
         std_against_control, std_feature_stats, std_long, std_discriminant, split_grouped, split_leave_one_out, split_subsets, svm_lines,
         ml_forest, ml_neural_net, ml_svm, ml_single_feature, ml_without_family,
     )
@@ -184,6 +200,13 @@ ORACLE = {
     "rank_against_control": f"WITH {_CONTROL} SELECT row_id, source, rank FROM cases",
     "rank_recall_split": f"WITH {_SOURCE}, {_hits('pos')} SELECT CAST(k AS INT) AS k, round(avg(hits), 9) AS mean_hits FROM hits GROUP BY k",
     "rank_recall_each": f"WITH {_CONTROL}, {_hits('cases')} SELECT source, CAST(k AS INT) AS k, hits FROM hits",
+    "rank_recall_split_all": f"""WITH {_SOURCE}, sources AS (SELECT source, count(rank) AS n FROM sourced GROUP BY source HAVING count(*) FILTER (label_class = 1) > 0),
+      c AS (SELECT CAST(greatest(ceil(rank), 1) AS BIGINT) AS k, count(*) AS n FROM pos WHERE rank IS NOT NULL GROUP BY 1)
+      SELECT g.k, round(CAST(coalesce(sum(n) OVER (ORDER BY g.k), 0) AS DOUBLE) / (SELECT count(*) FROM sources), 9) AS mean_hits
+      FROM (SELECT unnest(range(1, (SELECT max(n) FROM sources))) AS k) g LEFT JOIN c ON g.k = c.k""",
+    "rank_recall_each_all": f"""WITH {_CONTROL}, c AS (SELECT source, CAST(greatest(ceil(rank), 1) AS BIGINT) AS k, count(*) AS n FROM cases WHERE rank IS NOT NULL GROUP BY 1, 2),
+      g AS (SELECT source, unnest(range(1, n + 1)) AS k FROM (SELECT source, count(*) AS n FROM cases GROUP BY 1))
+      SELECT g.source, g.k, CAST(coalesce(sum(n) OVER (PARTITION BY g.source ORDER BY g.k), 0) AS BIGINT) AS hits FROM g LEFT JOIN c ON g.source = c.source AND g.k = c.k""",
     "rank_reciprocal": f"""WITH a AS (SELECT row_id, {_RANK.format(by="", s="score", more="")} AS r1 FROM split_rows WHERE score IS NOT NULL),
       b AS (SELECT row_id, {_RANK.format(by="", s="pos % 997", more="")} AS r2 FROM split_rows)
       SELECT row_id, round((1 / r1 + 1 / r2) / 2, 12) AS mrr FROM b LEFT JOIN a USING (row_id)""",
