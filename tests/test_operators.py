@@ -221,6 +221,20 @@ def test_models_separate_classes(spark):
         assert min(r.score for r in got if r.y) > max(r.score for r in got if not r.y)
 
 
+def test_coding_length_in_frame(spark, tmp_path):
+    from varloom.plans import variant_queries
+
+    gene = lambda tx, cds_end, strand="+": (tx, tx, "chr1", strand, 0, 40, 2, cds_end, 2, "0,20,", "10,40,")
+    names = "tx_id string, name2 string, chrom string, strand string, tx_start long, tx_end long, cds_start long, cds_end long, exon_count int, exon_starts string, exon_ends string"
+    # 8 bases of the first exon; 1, 2 and 3 of the second
+    models = spark.createDataFrame([gene("a", 21), gene("b", 22), gene("c", 23), gene("d", 22, "?")], names)
+    got = {r.tx: (r.reason, r.frame_reason) for r in variants.transcripts(models).collect()}
+    assert got == {"a": (None, None), "b": (None, "frame"), "c": (None, "frame"), "d": ("strand", "strand")}
+    models.write.parquet(f"{tmp_path}/gene_models.parquet")
+    counts = variant_queries.QUERIES["flt_transcript_reasons_in_frame"](spark, str(tmp_path)).collect()
+    assert {r.reason: r.n for r in counts} == {"usable": 1, "frame": 2, "strand": 1}
+
+
 def test_records(spark):
     lines = spark.createDataFrame([(1, "chr1 5\t. A C,G PASS x y"), (2, "# c"), (3, " "), (4, "X a"), (5, None)], "id long, line string")
     got = {r.id: r for r in variants.vcf_records(lines, "line", ["id"]).collect()}

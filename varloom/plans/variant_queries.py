@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.clean_variants(table(spark, sf_dir, "variants"))
 
 
-def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.transcripts(table(spark, sf_dir, "gene_models"))
+def _transcripts(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
+    """The transcripts; with in_frame, `reason` also names coding sequences of a length that 3 does not divide."""
+    t = v.transcripts(table(spark, sf_dir, "gene_models"))
+    return t.withColumn("reason", F.col("frame_reason")) if in_frame else t
 
 
 def _snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +57,8 @@ def flt_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(lookup.in_frequency_range(F.col("af"))).select("variant_id", F.round("af", 9).alias("af"))
 
 
-def flt_transcript_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _transcripts(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("n"))
+def flt_transcript_reasons(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
+    return _transcripts(spark, sf_dir, in_frame).groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def join_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,35 +67,35 @@ def join_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.looked_up(_variants(spark, sf_dir), scores, ["chrom", "pos"], "score", "loaded_ts", "row_id").select("variant_id", "score")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = _transcripts(spark, sf_dir).filter("reason IS NULL").select("chrom", "tx", "gene", "cds_start", "cds_end", (F.col("tx_end") - F.col("tx_start")).alias("tx_length")).distinct()
+def _hits(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
+    usable = _transcripts(spark, sf_dir, in_frame).filter("reason IS NULL").select("chrom", "tx", "gene", "cds_start", "cds_end", (F.col("tx_end") - F.col("tx_start")).alias("tx_length")).distinct()
     return intervals.point_in_interval(_snvs(spark, sf_dir).select("variant_id", "chrom", "pos"), usable, "chrom", "pos", "cds_start", "cds_end")
 
 
-def join_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("variant_id", "tx", "gene", "cds_start")
+def join_transcripts(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
+    return _hits(spark, sf_dir, in_frame).select("variant_id", "tx", "gene", "cds_start")
 
 
-def join_best_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_best_transcript(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     """The longest transcript that covers each variant, by name where two are as long."""
-    return intervals.best_per(_hits(spark, sf_dir), ["variant_id"], F.desc("tx_length"), F.asc("tx")).select("variant_id", "tx", "gene", "tx_length")
+    return intervals.best_per(_hits(spark, sf_dir, in_frame), ["variant_id"], F.desc("tx_length"), F.asc("tx")).select("variant_id", "tx", "gene", "tx_length")
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     syn = table(spark, sf_dir, "synonymous").select("syn_id", "pos", "gene_id", F.col("tx_id").alias("tx"))
-    usable = _transcripts(spark, sf_dir).filter("reason IS NULL")
+    usable = _transcripts(spark, sf_dir, in_frame).filter("reason IS NULL")
     return syn.join(F.broadcast(usable) if usable.count() <= 200_000 else usable, "tx")
 
 
-def join_unique_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_unique_transcript(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     """Synonymous calls whose gene and transcript name exactly one record that covers them."""
-    fit = _placed(spark, sf_dir).filter("gene = gene_id AND cds_start < pos AND pos <= cds_end")
+    fit = _placed(spark, sf_dir, in_frame).filter("gene = gene_id AND cds_start < pos AND pos <= cds_end")
     return intervals.unique_per(fit, ["syn_id"]).select("syn_id", "tx", "gene", "strand")
 
 
-def fn_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fn_projection(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     """Places of synonymous calls in their transcripts and coding sequences, and back again."""
-    placed = _placed(spark, sf_dir).filter("tx_start < pos AND pos <= tx_end").withColumn("segments", intervals.segment_offsets(F.col("cds"), F.col("strand")))
+    placed = _placed(spark, sf_dir, in_frame).filter("tx_start < pos AND pos <= tx_end").withColumn("segments", intervals.segment_offsets(F.col("cds"), F.col("strand")))
     pre = intervals.premrna_offset(F.col("pos"), F.col("tx_start"), F.col("tx_end"), F.col("strand"))
     coding = intervals.cds_offset(F.col("pos"), F.col("segments"), F.col("strand"))
     both = placed.withColumn("premrna_offset", pre).withColumn("cds_offset", coding)
@@ -124,6 +128,10 @@ QUERIES = {
     )
 }
 
+#: Queries on usable transcripts; each is registered once more, as NAME_in_frame, with the rule that 3 divides the coding length.
+FRAMED = (flt_transcript_reasons, join_transcripts, join_best_transcript, join_unique_transcript, fn_projection)
+QUERIES |= {f"{f.__name__}_in_frame": partial(f, in_frame=True) for f in FRAMED}
+
 
 def _chrom(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_]+', '', 'g'), '(?i)^chr', '')"
@@ -210,3 +218,8 @@ ORACLE = {
       FROM (SELECT {_chrom("chrom")} AS chrom, pos, {_allele("ref")} AS ref, {_allele("alt")} AS alt, cohort, count(*) AS n FROM synonymous WHERE cohort IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
     "agg_samples": f"""WITH {_VARIANTS} SELECT sample_id, CAST(sum(n) AS BIGINT) AS n_calls, count(*) AS n_changes FROM (SELECT sample_id, chrom, pos, ref, alt, count(*) AS n FROM v GROUP BY ALL) GROUP BY ALL""",
 }
+
+_TX_IN_FRAME = _TX.replace(
+    "'no_coding' END", "'no_coding' WHEN (SELECT sum(e - s) FROM seg WHERE seg.rec = tx0.rec) % 3 <> 0 THEN 'frame' END"
+)
+ORACLE |= {f"{f.__name__}_in_frame": ORACLE[f.__name__].replace(_TX, _TX_IN_FRAME) for f in FRAMED}

@@ -68,7 +68,9 @@ def transcripts(models: DataFrame) -> DataFrame:
 
     `reason` says why a record is unusable, null where it is not: strand, exons
     (lists of unequal or wrong number, or not numbers), empty_cds, cds_outside
-    and no_coding. Intervals are 0-based and half-open.
+    and no_coding. `frame_reason` says the same with one rule more: frame, where
+    3 does not divide the length of the coding segments. Intervals are 0-based
+    and half-open.
     """
     t = models.distinct().select(
         F.col("tx_id").alias("tx"),
@@ -95,7 +97,8 @@ def transcripts(models: DataFrame) -> DataFrame:
         .when((F.col("cds_start") < F.col("tx_start")) | (F.col("cds_end") > F.col("tx_end")), "cds_outside")
         .when(F.size("cds") == 0, "no_coding")
     )
-    return parsed.withColumn("cds_length", length).withColumn("reason", reason).drop("starts", "ends")
+    framed = F.coalesce("reason", F.when(F.col("cds_length") % 3 != 0, "frame"))
+    return parsed.withColumn("cds_length", length).withColumn("reason", reason).withColumn("frame_reason", framed).drop("starts", "ends")
 
 
 def info_value(info: Column, name: str) -> Column:
