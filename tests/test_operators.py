@@ -170,6 +170,24 @@ def test_junction_features(spark):
     assert got == [(3.0, 2.0, 2.0, 2.0, True, True, False), (None, None, None, None, False, False, False)]
 
 
+def test_matrix_holds_every_family(spark, tmp_path):
+    from varloom.plans import sequence_queries
+
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("ACGT") for _ in range(rng.choice([20, 90, 300])))) for i in range(60)]
+    spark.createDataFrame([*texts, (60, "ACG")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(s, "ACGTACGTTGCA") for s in ("science", "law", "procedure")], "subject string, text string").write.parquet(f"{tmp_path}/subject_samples.parquet")
+    got = {r.doc_id: r for r in sequence_queries.seq_feature_matrix(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(60)) and not any(x is None for r in got.values() for x in r)
+    for query, columns in (("seq_matrices", {"lost": "sr_lost", "gained": "sr_gained"}), ("seq_codon_usage", {"rscu": "rscu", "d_rscu": "d_rscu"}), ("seq_folding", {"pdg": "pdg"})):
+        want = getattr(sequence_queries, query)(spark, str(tmp_path)).collect()
+        assert all(got[r.doc_id][to] == (r[c] or 0) for r in want for c, to in columns.items())
+        assert all(any(r[to] for r in got.values()) for to in columns.values())
+    ranks = sequence_queries.seq_matrix_ranks(spark, str(tmp_path)).collect()
+    assert len(ranks) == 60
+    assert all(float(r["rank"]) == sum(x.score > r.score for x in ranks) + (sum(x.score == r.score for x in ranks) + 1) / 2 for r in ranks)
+
+
 def test_standardize_and_discriminant(spark):
     df = spark.createDataFrame([(1.0, 5.0, 0), (3.0, 5.0, 0), (7.0, None, 1), (9.0, 6.0, 1), (8.0, 4.0, 1), (2.0, 6.5, 0)], "x double, c double, y int")
     z = standardize.standardized(df.select("x", F.lit(2.0).alias("k")), ["x", "k"]).collect()

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import genetics, sequence, splice
-from varloom.operators import generate, scoring
+from varloom.operators import generate, models, ranking, scoring, standardize
 from varloom.sources import genome
-from varloom.support import table
+from varloom.support import stored, table
 
 #: Bases of a domain cut out for folding, on either side of the change.
 DOMAIN = 20
@@ -189,19 +189,39 @@ def gen_matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All families' features of each change in one row, nulls as 0; what the models read."""
-    parts = [seq_motifs(spark, sf_dir).drop("enh_old", "sup_old", "sil_old"), seq_cpg(spark, sf_dir), seq_position(spark, sf_dir), seq_splice(spark, sf_dir)]
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.join(p, "doc_id")
+    """The features of each change in one row, nulls as 0; what seq_matrix_ranks reads.
+
+    Motifs, weight matrices (sr_), CpG, position, codon usage, splice sites and
+    folding. Conservation is missing: it is known by chromosome and position,
+    which documents do not have.
+    """
+    matrices = seq_matrices(spark, sf_dir).select("doc_id", F.col("lost").alias("sr_lost"), F.col("gained").alias("sr_gained"))
+    usage = seq_codon_usage(spark, sf_dir).select("doc_id", "rscu", "d_rscu")
+    folding = seq_folding(spark, sf_dir).select("doc_id", "pdg")
+    joined = seq_motifs(spark, sf_dir).drop("enh_old", "sup_old", "sil_old")
+    for p in (matrices, seq_cpg(spark, sf_dir), seq_position(spark, sf_dir), usage, seq_splice(spark, sf_dir), folding):
+        joined = joined.join(p, "doc_id", "left")
     return joined.na.fill(0)
 
 
+def seq_matrix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change's rank by the linear SVM's score over the feature matrix, standardized against the control.
+
+    The tables name no harmful changes, so documents of even id stand in for
+    the control and the others for the examples.
+    """
+    matrix = stored(seq_feature_matrix(spark, sf_dir).withColumn("label", F.pmod("doc_id", F.lit(2)).cast("int")))
+    features = [c for c in matrix.columns if c not in ("doc_id", "label")]
+    z = standardize.standardized(matrix, features, matrix.filter("label = 0"))
+    ranked = ranking.average_rank(models.scores(models.linear_svm(features, "label").fit(z), z).select("doc_id", "label", "score"), "score", [])
+    return ranked.select(ranking.rank_text(F.col("rank")).alias("rank"), "score", "label", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         src_regions, src_sizes, seq_mutations, seq_motifs, seq_matrices, seq_cpg, seq_position, seq_codon_usage, seq_splice_sites,
-        seq_site_scores, seq_splice, seq_folding, gen_all_synonymous, gen_matched_controls, seq_feature_matrix,
+        seq_site_scores, seq_splice, seq_folding, gen_all_synonymous, gen_matched_controls, seq_feature_matrix, seq_matrix_ranks,
     )
 }
 
