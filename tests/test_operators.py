@@ -253,6 +253,18 @@ def test_coding_length_in_frame(spark, tmp_path):
     assert {r.reason: r.n for r in counts} == {"usable": 1, "frame": 2, "strand": 1}
 
 
+def test_queries_run_whole_models_and_splits(spark, tmp_path, monkeypatch):
+    from varloom.plans import model_queries
+
+    monkeypatch.setattr(model_queries, "_model_scores", lambda spark, sf_dir, pipeline: pipeline.getStages()[1])
+    forest, net, svm = (getattr(model_queries, f"ml_{n}")(spark, "") for n in ("forest", "neural_net", "svm"))
+    assert (forest.getNumTrees(), forest.getMaxDepth(), net.getMaxIter(), svm.getMaxIter()) == (2001, 10, 500, 100)
+    spark.createDataFrame([(i, i % 2, "chr1", i * 900_000) for i in range(80)], "row_id long, label_class int, chrom string, pos long").write.parquet(f"{tmp_path}/split_rows.parquet")
+    for query, column, n in (("split_grouped_all", "iteration", 50), ("split_leave_one_out_all", "replicate", 10)):
+        got = model_queries.QUERIES[query](spark, str(tmp_path)).select(column).distinct().collect()
+        assert sorted(r[0] for r in got) == list(range(1, n + 1))
+
+
 def test_records(spark):
     lines = spark.createDataFrame([(1, "chr1 5\t. A C,G PASS x y"), (2, "# c"), (3, " "), (4, "X a"), (5, None)], "id long, line string")
     got = {r.id: r for r in variants.vcf_records(lines, "line", ["id"]).collect()}

@@ -127,6 +127,16 @@ def split_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leave_one_out(_examples(spark, sf_dir), "row_id", "label_class", 3)
 
 
+def split_grouped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped splits in the 50 iterations of the benchmark."""
+    return splits.grouped_splits(_examples(spark, sf_dir), "row_id", "label_class", "locus", 50)
+
+
+def split_leave_one_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out splits in the 10 replicates of the benchmark."""
+    return splits.leave_one_out(_examples(spark, sf_dir), "row_id", "label_class", 10)
+
+
 def split_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlapping_subsets(_examples(spark, sf_dir), "row_id")
 
@@ -141,15 +151,15 @@ def _model_scores(spark: SparkSession, sf_dir: str, pipeline) -> DataFrame:
 
 
 def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_scores(spark, sf_dir, models.forest(FEATURES, "label", trees=20, depth=5))
+    return _model_scores(spark, sf_dir, models.forest(FEATURES, "label"))
 
 
 def ml_neural_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_scores(spark, sf_dir, models.neural_net(FEATURES, "label", steps=30))
+    return _model_scores(spark, sf_dir, models.neural_net(FEATURES, "label"))
 
 
 def ml_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model_scores(spark, sf_dir, models.linear_svm(FEATURES, "label", steps=20))
+    return _model_scores(spark, sf_dir, models.linear_svm(FEATURES, "label"))
 
 
 def ml_single_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rank_report, rank_top, rank_in_source, rank_against_control, rank_recall_split, rank_recall_each, rank_recall_split_all, rank_recall_each_all, rank_reciprocal, rank_area, rank_cdf,
-        std_against_control, std_feature_stats, std_long, std_discriminant, split_grouped, split_leave_one_out, split_subsets, svm_lines,
+        std_against_control, std_feature_stats, std_long, std_discriminant, split_grouped, split_leave_one_out, split_grouped_all, split_leave_one_out_all, split_subsets, svm_lines,
         ml_forest, ml_neural_net, ml_svm, ml_single_feature, ml_without_family,
     )
 }
@@ -236,3 +246,7 @@ ORACLE = {
     "ml_single_feature": f"WITH {_LABELLED} SELECT {_KEYS}, label, l_discount AS score FROM t",
     "ml_without_family": " UNION ALL ".join(f"SELECT '{f}' AS name, round(avg({f}), 4) AS mean FROM lineitem" for f in ("l_quantity", "l_extendedprice")),
 }
+ORACLE |= {
+    "split_grouped_all": ORACLE["split_grouped"].replace("range(1, 6)", "range(1, 51)"),
+    "split_leave_one_out_all": ORACLE["split_leave_one_out"].replace("range(1, 4)", "range(1, 11)"),
+}
