@@ -55,6 +55,19 @@ def test_near_passages(spark):
     assert set(found(spark, [(1, edited, "", "")], [(5, item)], budget=0)) == {(1, 5)}
 
 
+def test_near_passages_at_any_word(spark):
+    words = WORDS[:30]
+    docs, d = [], 0
+    for start in range(20):
+        run = words[start : start + 10]
+        for at in range(1, 9):
+            other = [[*run[:at], run[at] + "q", *run[at + 1 :]], [*run[:at], run[at][:1], run[at][1:], *run[at + 1 :]], [*run[: at - 1], run[at - 1] + run[at], *run[at + 1 :]]]
+            docs += [(d + i, "so " + " ".join(x) + " on", "", "") for i, x in enumerate(other)]
+            d += len(other)
+    got = found(spark, docs, [(5, " ".join(words))])
+    assert len(got) == len(docs) == 480 and all(r.distance == 1 and r.run < 10 for r in got.values())
+
+
 def test_words_of_a_passage_must_be_whole(spark):
     item = " ".join(WORDS[10:20])
     got = found(spark, [(1, "x" + item, "", ""), (2, item + "9", "", ""), (3, item, "", "")], [(5, item)])

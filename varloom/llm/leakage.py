@@ -69,10 +69,11 @@ def _windows_distance(left: list[str], piece: list[str], right: list[str], text:
     """The least distance of any run of `size` item words round the piece from the text."""
     run = [*left, *piece, *right]
     best = 1 << 30
-    for start in range(max(0, len(run) - size) + 1):
-        best = min(best, edit_distance(f" {' '.join(run[start : start + size])} ", text))
-        if best == 0:
-            break
+    windows = [f" {' '.join(run[start : start + size])} " for start in range(max(0, len(run) - size) + 1)]
+    if any(x in text for x in windows):
+        return 0
+    for window in windows:
+        best = min(best, edit_distance(window, text))
     return best
 
 
@@ -95,11 +96,11 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def item_pieces(items: DataFrame, item_id: str, text: str, min_words: int, budget: int) -> DataFrame:
-    """(piece_hash, item, piece, i_left, i_right): each item cut into pieces end to end, with the words beside them.
+    """(piece_hash, item, piece, i_left, i_right): a piece from every word of each item on, with the words beside it.
 
-    A piece has min_words / (budget + 1) words, so that a run of min_words at
-    the pieces' bounds holds budget + 1 of them, and one at any place holds a
-    whole piece.
+    An edit changes two words at most, so budget edits leave min_words less
+    2 * budget words of a run in at most budget + 1 stretches, of which the
+    longest has a piece's words or more.
     """
     size, side = piece_size(min_words, budget), min_words - piece_size(min_words, budget)
 
@@ -108,7 +109,7 @@ def item_pieces(items: DataFrame, item_id: str, text: str, min_words: int, budge
             rows = []
             for item, text in zip(pdf["item"], pdf["text"]):
                 w = words_in(text)
-                for at in range(0, len(w) - size + 1, size) if len(w) >= min_words else ():
+                for at in range(len(w) - size + 1) if len(w) >= min_words else ():
                     piece = w[at : at + size]
                     value = run_hashes(np.array([zlib.crc32(x.encode()) for x in piece], np.uint64), size).view(np.int64)[0]
                     rows.append((value, item, piece, w[max(0, at - side) : at], w[at + size : at + size + side]))
@@ -119,7 +120,7 @@ def item_pieces(items: DataFrame, item_id: str, text: str, min_words: int, budge
 
 
 def piece_size(min_words: int, budget: int) -> int:
-    return max(1, min_words // (budget + 1))
+    return max(1, -((2 * budget - min_words) // (budget + 1)))
 
 
 def piece_hits(docs: DataFrame, pieces: DataFrame, size: int, side: int) -> DataFrame:
@@ -200,7 +201,7 @@ def leaked_passages(
     size = piece_size(min_words, budget)
     pieces = stored(item_pieces(items, item_id, item_text, min_words, budget))
     docs = corpus.select(F.col(f"`{doc_id}`").alias("doc"), without_brackets(F.col(f"`{text}`")).alias("text"))
-    hits = piece_hits(docs, pieces, size, min_words - size)
+    hits = piece_hits(docs, pieces, size, min_words - size + budget)  # an edit may split a word
     context = F.concat("d_left", "d_right")
     known = F.size(F.filter(F.concat("i_left", "i_right"), lambda x: F.array_contains(context, x)))
     hits = hits.filter(known >= min_words - size - 2 * budget)
