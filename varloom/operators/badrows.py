@@ -46,8 +46,9 @@ def _well_quoted(field: Column) -> Column:
     return (F.instr(field, '"') == 0) | ((F.length(field) >= 2) & F.startswith(field, F.lit('"')) & F.endswith(field, F.lit('"')) & ~lone)
 
 
-def _text(field: Column) -> Column:
-    return _restore(F.when(F.startswith(field, F.lit('"')), F.replace(_inner(field), F.lit('""'), F.lit('"'))).otherwise(field))
+def _text(field: Column, marked: Column) -> Column:
+    plain = F.when(F.startswith(field, F.lit('"')), F.replace(_inner(field), F.lit('""'), F.lit('"'))).otherwise(field)
+    return F.when(marked, _restore(plain)).otherwise(field)
 
 
 def chrom_ok(c: Column) -> Column:
@@ -55,8 +56,7 @@ def chrom_ok(c: Column) -> Column:
 
 
 def pos_ok(c: Column) -> Column:
-    digits = F.regexp_replace(c, "^0+", "")
-    return c.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 9) & F.coalesce(digits.try_cast("long"), F.lit(0)).between(1, MAX_POS)
+    return c.rlike(r"\A0*[0-9]{1,9}\z") & F.coalesce(c.try_cast("long"), F.lit(0)).between(1, MAX_POS)
 
 
 def ref_ok(c: Column) -> Column:
@@ -69,26 +69,34 @@ def parse_lines(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     Every column is loaded as text first; each rule is one vectorised
     expression that adds its name to `errors`, in the order quoting, columns,
     chrom, pos, ref. An empty array means a valid record. A line whose quoting
-    or number of fields is wrong has null fields and that one reason.
+    or number of fields is wrong has null fields and that one reason. A line
+    without a double quote is split at its tabs and needs no test of quoting;
+    every step's result is a column of its own, made once a line, and the
+    errors come out of an explode, so that a filter on them is not tested by
+    parsing the line once more.
 
     Defined results: lines that start with `#`, lines of white space only and
     null lines are skipped; one carriage return at the end does not count;
     repeated lines stay repeated; lines may be of any length. A kept column
     named like an output column gets `_in` added to its name.
     """
-    source = df.select(*kept_columns(keep, {*FIELDS, "errors"}), F.regexp_replace(F.col(f"`{line}`").cast("string"), r"\r\z", "").alias("__line"))
+    raw = F.col(f"`{line}`").cast("string")
+    source = df.select(*kept_columns(keep, {*FIELDS, "errors"}), raw.alias("__raw"))
     names = [F.col(f"`{n}`") for n in source.columns[:-1]]
-    lines = source.filter(~F.startswith("__line", F.lit("#")) & F.col("__line").rlike(rf"[^{SPACE[1:]}"))
-    split = lines.select(*names, _fields(F.col("__line")).alias("__fields"))
-    quoted = F.forall("__fields", _well_quoted)
-    whole = quoted & (F.size("__fields") == len(FIELDS))
-    shape = split.select(
-        *names,
-        F.when(~quoted, "quoting").when(~whole, "columns").alias("__shape"),
-        *[F.when(whole, _text(F.get("__fields", F.lit(i)))).alias(f) for i, f in enumerate(FIELDS)],
-    )
-    rules = [F.when(~chrom_ok(F.col("chrom")), "chrom"), F.when(~pos_ok(F.col("pos")), "pos"), F.when(~ref_ok(F.col("ref")), "ref")]
-    return shape.select(*names, *FIELDS, F.array_compact(F.array(F.col("__shape"), *rules)).alias("errors"))
+    content = source.filter(~F.startswith("__raw", F.lit("#")) & F.col("__raw").rlike(rf"[^{SPACE[1:]}"))
+    ended = F.when(F.endswith("__raw", F.lit("\r")), F.substring("__raw", F.lit(1), F.length("__raw") - 1)).otherwise(F.col("__raw"))
+    lines = content.select(*names, ended.alias("__line"), (F.instr("__raw", '"') > 0).alias("__marked"))
+    fields = F.when(F.col("__marked"), _fields(F.col("__line"))).otherwise(F.split("__line", "\t", -1))
+    split = lines.select(*names, "__marked", fields.alias("__fields"))
+    quoted = ~F.col("__marked") | F.forall("__fields", _well_quoted)
+    shape = F.when(~quoted, "quoting").when(F.size("__fields") != len(FIELDS), "columns")
+    shaped = split.select(*names, "__marked", "__fields", shape.alias("__shape"))
+    whole = F.col("__shape").isNull()
+    text = {f: F.when(whole, _text(F.get("__fields", F.lit(i)), F.col("__marked"))) for i, f in enumerate(FIELDS)}
+    rules = [F.when(~ok(text[f]), f) for f, ok in (("chrom", chrom_ok), ("pos", pos_ok), ("ref", ref_ok))]
+    errors = F.array_compact(F.array(F.col("__shape"), *rules))
+    judged = shaped.select(*names, "__marked", "__fields", "__shape", F.explode_outer(F.array(errors)).alias("errors"))
+    return judged.select(*names, *[text[f].alias(f) for f in FIELDS], "errors")
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
