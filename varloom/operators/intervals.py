@@ -16,7 +16,7 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, pos: st
 
     Intervals are spread over the bins they touch and points fall into one, so
     that Spark joins by key and bin and checks the bounds on what meets. The
-    spread intervals are broadcast once a count shows them to be few; else both
+    spread intervals, computed once, are broadcast where few were measured; else both
     sides are shuffled, where adaptive execution splits a hot bin. Null keys,
     positions and bounds match nothing, nor do intervals that end before they
     start. Names on both sides must differ but for the key.
@@ -29,9 +29,13 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, pos: st
 
 
 def best_per(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
-    """The first row of each group in the given order, which should end in a tiebreak."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.filter("__rank = 1").drop("__rank")
+    """The first row of each group in the given order, which should end in a tiebreak.
+
+    Values to order by must be negated where the largest is wanted. A minimum
+    with a partial step, so that a group has shrunk before the shuffle.
+    """
+    best = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct("*").alias("row"))).alias("best")
+    return df.groupBy(*[F.col(b).alias(f"__by_{b}") for b in by]).agg(best).select("best.row.*")
 
 
 def unique_per(df: DataFrame, by: list[str]) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.support import small
-
 
 def latest(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """keys and value, one row per key: the row that is last in the given order.
@@ -21,10 +19,10 @@ def latest(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """rows with `value` of the last matching row of the table, null where there is none.
 
-    The table, one row per key by then, is broadcast if a count shows it small;
-    else both sides are shuffled by key and adaptive execution splits hot keys.
+    The table, one row per key by then, carries no hint: adaptive execution
+    broadcasts it where its measured bytes are few, and else splits hot keys.
     """
-    return rows.join(small(latest(table, keys, value, *order)), keys, "left")
+    return rows.join(latest(table, keys, value, *order), keys, "left")
 
 
 def in_frequency_range(af: Column, least: float = 0.0, most: float = 0.05) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.support import small
-
-#: Ranges of the score in which ranks are summed up before they are put together.
-RANGES = 64
+from varloom.support import stored
 
 #: Cutoffs that one task of a whole curve runs through.
 BLOCK = 65_536
@@ -21,25 +18,29 @@ LIKELY, POTENTIALLY = 0.48, 0.28
 def _rows_above(counts: DataFrame, score: str, by: list[str]) -> DataFrame:
     """counts (by, score, __n), one row per score, with `__above`: the rows of the group whose score is larger.
 
-    The running count is taken within ranges of the score, and the ranges'
-    totals are added, so that no task sorts a whole group.
+    The counts are laid out by ranges of group and score, as many as the
+    session has shuffle partitions and adaptive execution finds worth while, so
+    a large group spans many. The running count is taken within each range, and
+    the totals of the group's higher ranges are added: no task sorts a group.
     """
-    ready = counts.withColumn("__s", F.col(score).cast("double"))
-    cuts = ready.agg(F.percentile_approx("__s", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="__s", outputCol="__range").transform(ready)
+    placed = stored(counts).repartitionByRange(*by, F.desc(score)).withColumn("__range", F.spark_partition_id())
+    ranged = stored(placed)
     totals = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__total"))
-    higher = Window.partitionBy(*by).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__range", F.coalesce(F.sum("__total").over(higher), F.lit(0)).alias("__higher"))
-    within = Window.partitionBy(*by, "__range").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(small(offsets), [*by, "__range"])
-    return placed.select(*by, score, "__n", (F.col("__higher") + F.col("__before")).alias("__above"))
+    within = Window.partitionBy(*by, "__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(offsets, [*by, "__range"])
+    return both.select(*by, score, "__n", (F.col("__higher") + F.col("__before")).alias("__above"))
 
 
 def _known(df: DataFrame, score: str) -> DataFrame:
     return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
+def _all_known(by: list[str]) -> Column:
+    return F.greatest(*[F.col(b).isNull().cast("int") for b in by], F.lit(0), F.lit(0)) == 0
+
+
 def average_rank(df: DataFrame, score: str, by: list[str], rank: str = "rank") -> DataFrame:
     """df with the 1-based rank of each score in its group, the highest first, ties sharing the mean of their places.
 
@@ -47,9 +48,10 @@ def average_rank(df: DataFrame, score: str, by: list[str], rank: str = "rank") -
     ranked. A null or NaN score has no rank and counts for none; rows with a
     null in `by` have none either.
     """
-    counts = _known(df, score).groupBy(*by, score).agg(F.count("*").alias("__n"))
+    known = _known(df, score).filter(_all_known(by))
+    counts = known.groupBy(*by, score).agg(F.count("*").alias("__n"))
     ranks = _rows_above(counts, score, by).select(*by, score, (F.col("__above") + (F.col("__n") + 1) / 2).alias(rank))
-    return df.join(small(ranks), [*by, score], "left")
+    return df.join(ranks, [*by, score], "left")
 
 
 def rank_against(cases: DataFrame, controls: DataFrame, score: str, by: list[str], rank: str = "rank") -> DataFrame:
@@ -61,7 +63,7 @@ def rank_against(cases: DataFrame, controls: DataFrame, score: str, by: list[str
     asked = _known(cases, score).select(*by, score).distinct().withColumn("__n", F.lit(0).cast("long"))
     counts = _known(controls, score).groupBy(*by, score).agg(F.count("*").alias("__n")).unionByName(asked).groupBy(*by, score).agg(F.sum("__n").alias("__n"))
     ranks = _rows_above(counts, score, by).select(*by, score, (F.col("__above") + (F.col("__n") + 2) / 2).alias(rank))
-    return cases.join(small(ranks), [*by, score], "left")
+    return cases.join(ranks, [*by, score], "left")
 
 
 def score_label(score: Column) -> Column:
@@ -85,6 +87,38 @@ def hits_at_cutoffs(ranked: DataFrame, replicate: str, rank: str, cutoffs: int)
     return grid.join(first, [replicate, "k"], "left").select(replicate, "k", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("hits"))
 
 
+def recall_leave_one_out(ranked: DataFrame, major: str, replicate: str, rank: str) -> DataFrame:
+    """(k, hits, mean_hits): positives with a rank of at most k over all replicates, and per replicate.
+
+    One held-out positive per (major, replicate) row. k runs from 1 to the
+    number of majors; hits are divided by the number of replicates.
+    """
+    sizes = ranked.agg(F.count_distinct(major).alias("end"), F.count_distinct(replicate).alias("replicates")).withColumn("every", F.lit(0))
+    hits = hits_at_all_cutoffs(ranked.withColumn("every", F.lit(0)), sizes.select("every", "end"), "every", rank)
+    return hits.join(F.broadcast(sizes.select("every", "replicates")), "every").select("k", "hits", (F.col("hits") / F.col("replicates")).alias("mean_hits"))
+
+
+def recall_by_replicate(ranked: DataFrame, major: str, replicate: str, rank: str, replicates: list) -> DataFrame:
+    """(k, one column of hits per listed replicate): the leave-one-out curve of each replicate beside the others."""
+    ends = ranked.groupBy(replicate).agg(F.count_distinct(major).alias("end"))
+    return hits_at_all_cutoffs(ranked, ends, replicate, rank).groupBy("k").pivot(replicate, replicates).agg(F.first("hits"))
+
+
+def random_area(positives: Column, rows: Column, limit: float) -> Column:
+    """The area up to the limit under the curve of a random order, a line through the origin that reaches all positives at the last row."""
+    return positives / rows * limit * limit / 2
+
+
+def score_text(score: Column) -> Column:
+    """Three decimals of the binary value itself, as C prints it; Spark's own formatting rounds the shortest decimal text."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.3f}")
+
+    return text(score.cast("double"))
+
+
 def recall_curve(ranked: DataFrame, replicate: str, rank: str, cutoffs: int) -> DataFrame:
     """(k, mean_hits): the hits within each cutoff, averaged over the replicates."""
     return hits_at_cutoffs(ranked, replicate, rank, cutoffs).groupBy("k").agg(F.avg("hits").alias("mean_hits"))
@@ -107,7 +141,7 @@ def hits_at_all_cutoffs(ranked: DataFrame, ends: DataFrame, replicate: str, rank
     running = Window.partitionBy(replicate, "block").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
     both = grid.withColumn("asked", F.lit(True)).unionByName(counts.withColumn("asked", F.lit(False)))
     within = both.withColumn("within", F.sum("n").over(running)).filter("asked")
-    return within.join(small(offsets), [replicate, "block"], "left").select(replicate, "k", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("hits"))
+    return within.join(offsets, [replicate, "block"], "left").select(replicate, "k", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("hits"))
 
 
 def reciprocal_rank(df: DataFrame, ranks: list[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import cohort, intervals, lookup
 from varloom.sources import variants as v
-from varloom.support import table
+from varloom.support import small, table
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +78,13 @@ def join_transcripts(spark: SparkSession, sf_dir: str, in_frame: bool = False) -
 
 def join_best_transcript(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     """The longest transcript that covers each variant, by name where two are as long."""
-    return intervals.best_per(_hits(spark, sf_dir, in_frame), ["variant_id"], F.desc("tx_length"), F.asc("tx")).select("variant_id", "tx", "gene", "tx_length")
+    return intervals.best_per(_hits(spark, sf_dir, in_frame), ["variant_id"], -F.col("tx_length"), F.col("tx")).select("variant_id", "tx", "gene", "tx_length")
 
 
 def _placed(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     syn = table(spark, sf_dir, "synonymous").select("syn_id", "pos", "gene_id", F.col("tx_id").alias("tx"))
     usable = _transcripts(spark, sf_dir, in_frame).filter("reason IS NULL")
-    return syn.join(F.broadcast(usable) if usable.count() <= 200_000 else usable, "tx")
+    return syn.join(small(usable), "tx")
 
 
 def join_unique_transcript(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:

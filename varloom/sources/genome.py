@@ -13,46 +13,84 @@ from pyspark.sql import functions as F
 # The signature of a packed file and the bases of its two-bit codes.
 SIGNATURE, CODES = 0x1A412743, np.frombuffer(b"TCAG", dtype=np.uint8)
 
-#: Bases of a chunk row.
-CHUNK = 1 << 16
-
-
-def _sequences(data: bytes) -> Iterator[tuple[str, int, str]]:
-    """(name, chunk, bases) of a packed file, chunk by chunk; unknown stretches read N, masking is ignored."""
-    order = "<" if struct.unpack("<I", data[:4])[0] == SIGNATURE else ">"
-    signature, version, count, _ = struct.unpack(f"{order}4I", data[:16])
-    if signature != SIGNATURE or version != 0:
-        raise ValueError("no packed genome file")
-    at, index = 16, []
-    for _ in range(count):
-        size = data[at]
-        index.append((data[at + 1 : at + 1 + size].decode(), struct.unpack(f"{order}I", data[at + 1 + size : at + 5 + size])[0]))
-        at += 5 + size
-    for name, offset in index:
-        length, blocks = struct.unpack(f"{order}2I", data[offset : offset + 8])
-        unknown = np.frombuffer(data, dtype=f"{order}u4", count=2 * blocks, offset=offset + 8).astype(np.int64)
-        starts, sizes = unknown[:blocks], unknown[blocks:]
-        (masks,) = struct.unpack(f"{order}I", data[offset + 8 + 8 * blocks : offset + 12 + 8 * blocks])
-        packed_at = offset + 16 + 8 * blocks + 8 * masks
-        for start in range(0, length, CHUNK):
-            n = min(CHUNK, length - start)
-            packed = np.frombuffer(data, dtype=np.uint8, count=(n + 3) // 4, offset=packed_at + start // 4)
-            bases = CODES[np.stack([packed >> 6, packed >> 4 & 3, packed >> 2 & 3, packed & 3], axis=1).ravel()[:n]].copy()
-            for s, z in zip(starts, sizes):
-                bases[max(0, s - start) : max(0, min(n, s + z - start))] = ord("N")
-            yield name, start // CHUNK, bases.tobytes().decode()
+#: Bases of a chunk row, and chunks that one read takes from a file at a time.
+CHUNK, READ = 1 << 16, 64
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path)
+    return files.open_input_file(at)
+
+
+def _numbers(file, order: str, at: int, count: int) -> tuple[int, ...]:
+    file.seek(at)
+    return struct.unpack(f"{order}{count}I", file.read(4 * count))
+
+
+def _index(path: str) -> list[tuple]:
+    """(path, name, order, length, starts, sizes, packed_at) of each sequence of a packed file; no bases are read."""
+    with _opened(path) as file:
+        order = "<" if _numbers(file, "<", 0, 1)[0] == SIGNATURE else ">"
+        signature, version, count, _ = _numbers(file, order, 0, 4)
+        if signature != SIGNATURE or version != 0:
+            raise ValueError("no packed genome file")
+        listed, at = [], 16
+        for _ in range(count):
+            file.seek(at)
+            width = file.read(1)[0]
+            listed.append((file.read(width).decode(), at + 1 + width))
+            at += 5 + width
+        out = []
+        for name, where in listed:
+            (offset,) = _numbers(file, order, where, 1)
+            length, blocks = _numbers(file, order, offset, 2)
+            unknown = _numbers(file, order, offset + 8, 2 * blocks)
+            (masks,) = _numbers(file, order, offset + 8 + 8 * blocks, 1)
+            out.append((path, name, length, list(unknown[:blocks]), list(unknown[blocks:]), offset + 16 + 8 * blocks + 8 * masks))
+        return out
+
+
+def _chunks(path: str, length: int, unknown: list, packed_at: int, first: int, last: int) -> list[str]:
+    """The chunks first to last of one sequence; unknown stretches read N, masking is ignored."""
+    start, end = first * CHUNK, min(length, (last + 1) * CHUNK)
+    with _opened(path) as file:
+        file.seek(packed_at + start // 4)
+        packed = np.frombuffer(file.read((end - start + 3) // 4), dtype=np.uint8)
+    bases = CODES[np.stack([packed >> 6, packed >> 4 & 3, packed >> 2 & 3, packed & 3], axis=1).ravel()[: end - start]].copy()
+    for block in unknown:
+        bases[max(0, block["start"] - start) : max(0, block["start"] + block["size"] - start)] = ord("N")
+    text = bases.tobytes().decode()
+    return [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
-    """(name, chunk_id, seq) of all packed files at the path, CHUNK bases a row; one task per file."""
+    """(name, chunk_id, seq) of all packed files at the path, CHUNK bases a row.
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The files' indexes are read first. Every sequence is then cut into ranges of
+    READ chunks, which are spread over the tasks, and each task reads its own
+    ranges from the file: no task holds a file or a sequence.
+    """
+
+    def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for content in pdf.content:
-                for row in _sequences(content):
-                    yield pd.DataFrame([row], columns=["name", "chunk_id", "seq"])
+            rows = [row for p in pdf["path"] for row in _index(p)]
+            yield pd.DataFrame(rows, columns=["path", "name", "length", "starts", "sizes", "packed_at"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "name string, chunk_id long, seq string")
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples():
+                seqs = _chunks(r.path, r.length, r.unknown, r.packed_at, r.first, r.last)
+                yield pd.DataFrame({"name": r.name, "chunk_id": range(r.first, r.first + len(seqs)), "seq": seqs})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    listed = files.mapInPandas(index, "path string, name string, length long, starts array<long>, sizes array<long>, packed_at long")
+    ranges = listed.filter("length > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(CHUNK * READ).cast("long")))).withColumn("first", F.floor(F.col("first") / CHUNK))
+    last = F.least(F.col("first") + READ - 1, F.floor((F.col("length") - 1) / CHUNK))
+    inside = F.filter(F.zip_with("starts", "sizes", lambda a, b: F.struct(a.alias("start"), b.alias("size"))), lambda u: (u["start"] < (F.col("last") + 1) * CHUNK) & (u["start"] + u["size"] > F.col("first") * CHUNK))
+    wanted = ranges.withColumn("last", last).select("path", "name", "length", "packed_at", "first", "last", inside.alias("unknown"))
+    return wanted.repartition("path", "name", "first").mapInPandas(decode, "name string, chunk_id long, seq string")
 
 
 def chunked(sequences: DataFrame, name: str, seq: str, size: int = CHUNK) -> DataFrame:

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import ast
 import json
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.support import hadoop_path, is_whole, remove
+
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated matrix whose first line is a header, `#` marks in it dropped; `na` reads as null.
@@ -38,24 +44,66 @@ def read_motifs(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """(name, threshold, base, place, weight) of a file of weight matrices, read as literals and never run."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    rows = [(n, float(m["threshold"]), b, i, float(w)) for n, m in ast.literal_eval(text).items() for b, ws in m["motif"].items() for i, w in enumerate(ws)]
-    return spark.createDataFrame(rows, "name string, threshold double, base string, place int, weight double")
+    """(name, threshold, base, place, weight) of files of weight matrices, read as literals and never run.
+
+    A file is parsed by the task that reads it.
+    """
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [
+                (name, float(m["threshold"]), base, place, float(w))
+                for text in pdf["value"]
+                for name, m in ast.literal_eval(text).items()
+                for base, ws in m["motif"].items()
+                for place, w in enumerate(ws)
+            ]
+            yield pd.DataFrame(rows, columns=["name", "threshold", "base", "place", "weight"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "name string, threshold double, base string, place int, weight double")
+
+
+def _once(df: DataFrame, path: str) -> DataFrameWriter | None:
+    """A writer to the path, or None where a committed table stands there; what a broken run left is written over."""
+    return None if is_whole(df.sparkSession, path) else df.write.mode("overwrite")
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """A tab-separated table with a header that starts with `#`; nothing is done where it stands already."""
+    """A tab-separated table with a header that starts with `#`; nothing is done where it stands whole already."""
     first, *rest = df.columns
-    df.select(F.col(f"`{first}`").alias(f"#{first}"), *[F.col(f"`{c}`") for c in rest]).write.mode("ignore").option("sep", "\t").option("header", True).option("comment", "\u0001").option("nullValue", "na").csv(path)
+    marked = df.select(F.col(f"`{first}`").alias(f"#{first}"), *[F.col(f"`{c}`") for c in rest])
+    if writer := _once(marked, path):
+        writer.option("sep", "\t").option("header", True).option("comment", "\u0001").option("nullValue", "na").csv(path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
     """df from the table at the path, written there first unless a whole one stands there."""
-    df.write.mode("ignore").parquet(path)
+    if writer := _once(df, path):
+        writer.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted model at the path; nothing is done where one stands whole already.
+
+    A model is several folders, of which the metadata come first and the last
+    stage last, so it is saved beside the path and moved there as a whole.
+    """
+    spark = SparkSession.active()
+    fs, at = hadoop_path(spark, path)
+    if fs.exists(at):
+        return
+    draft = f"{path}-{uuid.uuid4().hex[:12]}"
+    model.save(draft)
+    if not fs.rename(hadoop_path(spark, draft)[1], at):
+        remove(spark, draft)
+        raise RuntimeError(f"could not move the model to {path}")
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def run_record(spark: SparkSession, command: str, arguments: dict) -> DataFrame:
     """One row on how a result came about."""
     return spark.createDataFrame([(command, json.dumps(arguments, sort_keys=True))], "command string, arguments string").withColumn("time", F.current_timestamp())
@@ -68,5 +116,13 @@ def svm_line(label: Column, features: list[Column]) -> Column:
 
 
 def train_test(df: DataFrame, path: str, by: list[str]) -> None:
-    """Training and test sets in folders by split and role; nothing is done where they stand already."""
-    df.write.mode("ignore").partitionBy(*by).parquet(path)
+    """Training and test sets in folders by split and role; nothing is done where they stand whole already."""
+    if writer := _once(df, path):
+        writer.partitionBy(*by).parquet(path)
+
+
+def read_conservation(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, score) of lines `score chrom pos` parted by white space; comments and lines that hold no numbers are left out."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
+    return rows.select(F.regexp_replace(F.get(f, F.lit(1)), "^chr", "").alias("chrom"), F.get(f, F.lit(2)).try_cast("long").alias("pos"), F.get(f, F.lit(0)).try_cast("double").alias("score")).filter("pos IS NOT NULL AND score IS NOT NULL")

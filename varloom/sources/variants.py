@@ -44,7 +44,7 @@ def vcf_records(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
         at(2).alias("id"),
         at(3).alias("ref"),
         F.substring_index(at(4), ",", 1).alias("alt"),
-        F.slice(f, 6, 1 << 20).alias("rest"),
+        F.slice(f, F.lit(6), F.greatest(F.lit(0), F.size(f) - 5)).alias("rest"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 # that Java's and RE2's regular expressions read it alike.
 SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-#: Rows up to which a side may be broadcast once it has been counted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast once it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the session names in spark.checkpoint.dir.
 
-    All executors see that folder. Only where the setting is absent (tests, a
-    notebook on one machine) a temporary folder is made and set.
+    All executors see that folder. Where the setting is absent, a session on
+    one machine (tests, a notebook) gets a temporary folder; on a cluster that
+    is an error, as executors would write where nobody else reads.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,15 +41,45 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path of any scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of one's own; nothing happens where it does not exist."""
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed: Spark puts _SUCCESS there last."""
+    fs, at = hadoop_path(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
+    """df, computed once and kept in the shared folder; its lineage ends there.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go once
+    nothing refers to them any more.
+    """
     shared_dir(df.sparkSession, "x")
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int | None = None, size: int | None = None, keep: bool = True) -> DataFrame:
+    """df, stored once, with a broadcast hint if its rows and bytes are measured to be few, else without one.
+
+    For sides that are usually dimensions. A side that grows with the data gets
+    no hint at all: adaptive execution measures it when it has been shuffled.
+    keep=False says that df is stored already.
+    """
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    kept = stored(df) if keep else df
+    found = kept.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(kept) if found.n <= rows and (found["size"] or 0) <= size else kept
 
 
 def trim_space(c: Column) -> Column:
