@@ -11,14 +11,12 @@ from varloom.support import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, counts = ledger.hidden_duplicates(table(spark, sf_dir, "variants"))
-    return ledger.copies(rows, counts)
+    return ledger.hidden_copies(table(spark, sf_dir, "variants"))
 
 
 def p1_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct call once, by its smallest id, with the number of its copies."""
-    _, counts = ledger.hidden_duplicates(table(spark, sf_dir, "variants"))
-    return counts.select(F.col("first").alias("variant_id"), "copies")
+    return ledger.hidden_counts(table(spark, sf_dir, "variants")).select(F.col("first").alias("variant_id"), "copies")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
