@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.support import SPACE, stored
+from varloom.support import SPACE, small, stored
+
+#: Rows of one text on one side that a task pairs at most with rows of the other side.
+PAIR_ROWS = 1000
 
-#: Training rows of one text that a task pairs at most with its partners.
-PAIR_ROWS = 10_000
+#: Tokens of a suffix that the array keeps and compares. A longer common prefix is
+#: found piece by piece, as the suffixes that begin within it share its rest.
+DEPTH = 8
+
+#: Letters of an alternate that stand in a text's id as they are; a longer one stands there by its digest.
+PLAIN_LETTERS = 32
 
 
 def _same_start(a: Column, b: Column) -> Column:
@@ -48,101 +59,188 @@ def change_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     return done.select(*[F.col(f"k_{k}").alias(k) for k in keep], "chrom", F.expr("substring(alt, n + 1)").alias("alt"), (F.col("pos") + F.col("n")).alias("pos"))
 
 
-def adjacent_spans(texts: DataFrame, min_tokens: int) -> DataFrame:
-    """(a, a_start, b, b_start, lcp): neighbours in the suffix array of all texts.
+def suffix_array(texts: DataFrame, min_tokens: int, depth: int = DEPTH) -> DataFrame:
+    """(part, suffix, text_id, start, is_train, before): all suffixes of the texts, laid out in order.
 
-    `texts` has (text_id, tokens), each distinct text once. Every suffix of at
-    least `min_tokens` tokens is laid into the partition of its first
-    `min_tokens` tokens, so that two suffixes with so long a common prefix are
-    never parted; each partition is sorted, and neighbours come out with the
-    number of leading tokens they share. A partition never spans more than the
-    suffixes that begin alike.
+    `texts` is (text_id, is_train, tokens), each distinct text once a side. A
+    suffix is the hashes of up to `depth` tokens from its start on, `before` the
+    hash of the token in front of it. Suffixes are laid into ranges of (suffix,
+    text_id, start, side): partitions follow each other in order, and a beginning that
+    many texts share spreads over as many partitions as it needs. A suffix of
+    fewer than min_tokens tokens is left out.
     """
-    starts = texts.filter(F.size("tokens") >= min_tokens).select("text_id", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (min_tokens - 1))).alias("start"))
-    suffixes = starts.select("text_id", "start", F.slice("tokens", F.col("start"), F.size("tokens")).alias("suffix"))
-    block = suffixes.withColumn("head", F.array_join(F.slice("suffix", 1, min_tokens), "\n"))
-    w = Window.partitionBy("head").orderBy("suffix", "text_id", "start")
-    pairs = block.select(
-        F.lag("text_id").over(w).alias("a"),
-        F.lag("start").over(w).alias("a_start"),
-        F.lag("suffix").over(w).alias("before"),
-        F.col("text_id").alias("b"),
-        F.col("start").alias("b_start"),
-        "suffix",
-    ).filter(F.col("a").isNotNull())
-    return pairs.select("a", "a_start", "b", "b_start", _same_start(F.col("before"), F.col("suffix")).alias("lcp"))
+    depth = max(depth, min_tokens)
+    hashed = texts.filter(F.size("tokens") >= min_tokens).select("text_id", "is_train", F.transform("tokens", lambda t: F.xxhash64(t)).alias("t"))
+    starts = hashed.select("text_id", "is_train", "t", F.explode(F.sequence(F.lit(1), F.size("t") - (min_tokens - 1))).alias("start"))
+    suffixes = starts.select(F.slice("t", F.col("start"), F.lit(depth)).alias("suffix"), "text_id", "start", "is_train", F.get("t", F.col("start") - 2).alias("before"))
+    return stored(suffixes.repartitionByRange("suffix", "text_id", "start", "is_train").withColumn("part", F.spark_partition_id()))
 
 
-def change_classes(rows: DataFrame) -> DataFrame:
-    """(text_id, tokens, n_train, n_eval): the distinct changes and their short texts.
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as the rows of one matrix, and their lengths."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(lengths), max(1, lengths.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy()
+    return out, lengths
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many leading entries the rows of two matrices share, `most` at most."""
+    width = min(a.shape[1], b.shape[1])
+    same = (a[:, :width] == b[:, :width]) & (np.arange(width) < most[:, None])
+    return np.cumprod(same, axis=1).sum(axis=1)
+
+
+def _walk(entering: dict[int, dict[bool, list[int]]], min_tokens: int):
+    """Goes through a partition in its order and compares each suffix with the last one of the other side.
+
+    `entering` has, for each partition, the last suffix of each side that
+    stands in front of it, so the walk goes on over the partitions' bounds.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[bool, list[int]] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if last is None:
+                last = dict(entering.get(batch.column("part")[0].as_py(), {}))
+            suffix, lengths = _padded(batch.column("suffix"))
+            train = batch.column("is_train").to_numpy(zero_copy_only=False).astype(bool)
+            places, lcp = np.arange(len(train)), np.zeros(len(train), np.int64)
+            for side in (False, True):
+                seen = np.maximum.accumulate(np.where(train == side, places, -1))
+                asking = np.nonzero((train != side) & (seen >= 0))[0]
+                lcp[asking] = _common(suffix[asking], suffix[seen[asking]], np.minimum(lengths[asking], lengths[seen[asking]]))
+                early = np.nonzero((train != side) & (seen < 0))[0]
+                if side in last and len(early):
+                    known = np.tile(np.array(last[side], np.int64), (len(early), 1))
+                    lcp[early] = _common(suffix[early], known, np.minimum(lengths[early], known.shape[1]))
+                if seen[-1] >= 0:
+                    last[side] = suffix[seen[-1], : lengths[seen[-1]]].tolist()
+            hit = pa.array(lcp >= min_tokens)
+            kept = batch.append_column("lcp", pa.array(lcp.astype(np.int32))).filter(hit)
+            yield kept.select(["text_id", "is_train", "start", "lcp", "suffix", "before"])
+
+    return walk
+
+
+def cross_spans(texts: DataFrame, min_tokens: int, depth: int = DEPTH) -> DataFrame:
+    """(text_id, is_train, start, lcp, head, before): every place of a text from which at least min_tokens tokens also stand in a text of the other side.
+
+    In a sorted suffix array the longest prefix that a suffix shares with any of
+    the other side is the one shared with the nearest of that side, above or
+    below. So the array is walked once downwards and once upwards, each
+    partition starting from the last suffix of either side in front of it; those,
+    two a partition, are all that passes through the driver. `lcp` counts up to
+    `depth` tokens, `head` is the first min_tokens of them.
+    """
+    array = suffix_array(texts, min_tokens, depth)
+    ends = array.groupBy("part", "is_train").agg(F.min(F.struct("suffix", "text_id", "start"))["suffix"].alias("low"), F.max(F.struct("suffix", "text_id", "start"))["suffix"].alias("high")).collect()
+
+    def before(parts: list[int], edge: str) -> dict[int, dict[bool, list[int]]]:
+        out, seen = {}, {}
+        for part in parts:
+            out[part] = dict(seen)
+            seen |= {r.is_train: r[edge] for r in ends if r.part == part}
+        return out
+
+    parts = sorted({r.part for r in ends})
+    schema = "text_id string, is_train boolean, start int, lcp int, suffix array<long>, before long"
+    order = ["suffix", "text_id", "start", "is_train"]
+    down = array.sortWithinPartitions(*order).mapInArrow(_walk(before(parts, "high"), min_tokens), schema)
+    up = array.sortWithinPartitions(*map(F.desc, order)).mapInArrow(_walk(before(parts[::-1], "low"), min_tokens), schema)
+    both = down.unionByName(up).groupBy("text_id", "is_train", "start").agg(F.max("lcp").alias("lcp"), F.first("suffix").alias("suffix"), F.first("before").alias("before"))
+    return stored(both.select("text_id", "is_train", "start", "lcp", F.slice("suffix", 1, min_tokens).alias("head"), "before"))
+
+
+def coverage(spans: DataFrame) -> DataFrame:
+    """(text_id, is_train, covered): the tokens of each text that its spans cover, counted once where they overlap."""
+    sorted_spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("lcp")).alias("end"))))
+    grown = F.aggregate(
+        sorted_spans,
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("covered")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["covered"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("covered")),
+    )
+    return spans.groupBy("text_id", "is_train").agg(grown["covered"].alias("covered"))
+
+
+def linked_texts(spans: DataFrame) -> DataFrame:
+    """(train_text, eval_text) once for each longest stretch of tokens that two texts of different sides share.
+
+    Texts meet where their suffixes begin with the same head. Of the places
+    along one shared stretch only its first counts: there the tokens in front
+    differ, or one of the texts begins.
+    """
+    side = lambda is_train, name: spans.filter(F.col("is_train") == is_train).select("head", F.col("text_id").alias(f"{name}_text"), F.col("before").alias(f"{name}_before"))
+    first = F.col("t.train_before").isNull() | F.col("e.eval_before").isNull() | (F.col("t.train_before") != F.col("e.eval_before"))
+    return side(True, "train").alias("t").join(side(False, "eval").alias("e"), "head").filter(first).select("train_text", "eval_text")
+
+
+def change_texts(changes: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., text_id and tokens of each change (chrom, alt, pos).
 
     A change's text is the tokens of the position before it, its own and the
     one after: two texts share all three tokens when the changes are the same,
     two tokens in a row when they are one position apart, and fewer otherwise.
     """
-    classes = rows.groupBy("chrom", "alt", "pos").agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_eval"))
-    stem = F.concat_ws(":", "chrom", "alt")
-    tokens = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.concat_ws(":", stem, (F.col("pos") + d).cast("string")))
-    return classes.select(text_id().alias("text_id"), tokens.alias("tokens"), "n_train", "n_eval")
+    alt = F.when(F.length("alt") <= PLAIN_LETTERS, F.col("alt")).otherwise(F.concat(F.lit("#"), F.md5("alt")))
+    tokens = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.xxhash64("chrom", "alt", F.col("pos") + d))
+    return changes.select(*keep, F.concat_ws(":", "chrom", F.col("pos").cast("string"), alt).alias("text_id"), tokens.alias("tokens"))
 
 
-def text_id() -> Column:
-    return F.concat_ws(":", "chrom", "alt", F.col("pos").cast("string"))
+#: Tokens that texts of changes one position apart share, and texts of the same change.
+NEAR, SAME = 2, 3
 
 
-def linked_classes(classes: DataFrame) -> DataFrame:
-    """(train_text, eval_text, shared, n_train): texts of both sides that overlap.
+def split_rows(df: DataFrame) -> DataFrame:
+    """(row_id, split_name, source, is_train, text_id, tokens) of the usable rows, kept in the shared folder."""
+    known = change_rows(df.filter(F.col("split_name").isin("train", "valid", "test")), ["row_id", "split_name", "source"])
+    return stored(change_texts(known.withColumn("is_train", F.col("split_name") == "train"), ["row_id", "split_name", "source", "is_train"]))
 
-    `shared` is the number of the eval text's tokens that the merged spans
-    cover: 3 for the same change, 2 for one position apart. A text that stands
-    on both sides is linked to itself. No more than two distinct texts can
-    share two given tokens in a row, so neighbours are all the links there are.
-    """
-    spans = adjacent_spans(classes.select("text_id", "tokens"), 2).filter("a <> b")
-    both_ways = spans.select(F.col("a").alias("t"), F.col("b").alias("e"), F.col("b_start").alias("start"), "lcp").unionByName(
-        spans.select(F.col("b").alias("t"), F.col("a").alias("e"), F.col("a_start").alias("start"), "lcp")
-    )
-    merged = both_ways.groupBy("t", "e").agg((F.max(F.col("start") + F.col("lcp")) - F.min("start")).cast("int").alias("shared"))
-    train = classes.filter("n_train > 0").select(F.col("text_id").alias("t"), "n_train")
-    evals = classes.filter("n_eval > 0").select(F.col("text_id").alias("e"))
-    near = merged.join(train, "t").join(evals, "e").select(F.col("t").alias("train_text"), F.col("e").alias("eval_text"), "shared", "n_train")
-    same = classes.filter("n_train > 0 AND n_eval > 0").select(F.col("text_id").alias("train_text"), F.col("text_id").alias("eval_text"), F.size("tokens").alias("shared"), "n_train")
-    return near.unionByName(same)
+
+def change_classes(rows: DataFrame) -> DataFrame:
+    """(text_id, is_train, tokens, n): the distinct texts of each side, with their rows; counted before the shuffle."""
+    return stored(rows.groupBy("text_id", "is_train").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
 
 
-def split_rows(df: DataFrame) -> DataFrame:
-    """(row_id, split_name, source, is_train, chrom, alt, pos) of the usable rows, kept in the shared folder."""
-    known = df.filter(F.col("split_name").isin("train", "valid", "test"))
-    return stored(change_rows(known, ["row_id", "split_name", "source"]).withColumn("is_train", F.col("split_name") == "train"))
+def linked_classes(classes: DataFrame) -> DataFrame:
+    """(train_text, eval_text, n_train, n_eval): the texts of both sides that overlap, the same change or a near one."""
+    links = linked_texts(cross_spans(classes.select("text_id", "is_train", "tokens"), NEAR))
+    size = lambda is_train, side: classes.filter(F.col("is_train") == is_train).select(F.col("text_id").alias(f"{side}_text"), F.col("n").alias(f"n_{side}"))
+    return links.join(size(True, "train"), "train_text").join(size(False, "eval"), "eval_text")
 
 
 def overlapping_pairs(rows: DataFrame) -> DataFrame:
-    """(train_id, eval_id, shared) of all rows of linked texts.
+    """(train_id, eval_id) of all rows of linked texts.
 
-    The rows of a text that is frequent on the training side are dealt out in
-    lots of about PAIR_ROWS, with the eval rows going to every lot, so no task
-    holds a hot text whole.
+    The rows of a text are dealt into lots of about PAIR_ROWS on either side,
+    and every lot of one side meets every lot of the other under a key of its
+    own, so no task holds a hot text whole, whichever side it is hot on.
 
     Defined results: rows with a null or blank chrom, pos or alt, and rows of
     another split, overlap with nothing; repeated rows give one pair each.
     """
-    links = linked_classes(change_classes(rows)).withColumn("lots", F.ceil(F.col("n_train") / PAIR_ROWS).cast("int"))
-    evals = rows.filter(~F.col("is_train")).select(F.col("row_id").alias("eval_id"), text_id().alias("eval_text"))
-    train = rows.filter("is_train").select(F.col("row_id").alias("train_id"), text_id().alias("train_text"))
-    sizes = links.select("train_text", "lots").distinct()
-    dealt = train.join(sizes, "train_text").select("train_id", "train_text", F.pmod(F.xxhash64("train_id"), F.col("lots").cast("long")).cast("int").alias("lot"))
-    asked = links.join(evals, "eval_text").select("eval_id", "train_text", "shared", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    return asked.join(dealt, ["train_text", "lot"]).select("train_id", "eval_id", "shared")
+    links = small(linked_classes(change_classes(rows)))
+    lots = {s: F.greatest(F.lit(1), F.ceil(F.col(f"n_{s}") / PAIR_ROWS)).cast("int") for s in ("train", "eval")}
+
+    def dealt(side: str, other: str) -> DataFrame:
+        own = rows.filter("is_train" if side == "train" else "NOT is_train").select(F.col("row_id").alias(f"{side}_id"), F.col("text_id").alias(f"{side}_text"))
+        lot = F.pmod(F.xxhash64(f"{side}_id"), lots[side].cast("long")).cast("int")
+        met = own.join(links, f"{side}_text")
+        return met.select("train_text", "eval_text", f"{side}_id", lot.alias(f"{side}_lot"), F.explode(F.sequence(F.lit(0), lots[other] - 1)).alias(f"{other}_lot"))
+
+    return dealt("train", "eval").join(dealt("eval", "train"), ["train_text", "eval_text", "train_lot", "eval_lot"]).select("train_id", "eval_id")
 
 
 def overlap_report(rows: DataFrame) -> DataFrame:
-    """Rows of each split and source, and how many overlap with the other side, the same change or a near one."""
-    links = linked_classes(change_classes(rows))
-    covered = links.select(F.col("eval_text").alias("text"), F.lit(False).alias("is_train"), "shared").unionByName(links.select(F.col("train_text").alias("text"), F.lit(True).alias("is_train"), "shared"))
-    best = covered.groupBy("text", "is_train").agg(F.max("shared").alias("shared"))
-    marked = rows.groupBy("split_name", "source", "is_train", text_id().alias("text")).agg(F.count("*").alias("n")).join(best, ["text", "is_train"], "left")
-    return marked.groupBy("split_name", "source").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("shared") == 3, F.col("n")).otherwise(0)).alias("n_same"),
-        F.sum(F.when(F.col("shared") == 2, F.col("n")).otherwise(0)).alias("n_near_only"),
-    )
+    """Rows of each split and source, and how many overlap with the other side, the same change or a near one.
+
+    A row overlaps by as much as the merged spans cover of its text.
+    """
+    classes = change_classes(rows)
+    covered = coverage(cross_spans(classes.select("text_id", "is_train", "tokens"), NEAR))
+    counted = rows.groupBy("split_name", "source", "is_train", "text_id").agg(F.count("*").alias("n"))
+    marked = counted.join(covered, ["text_id", "is_train"], "left")
+    of = lambda tokens: F.sum(F.when(F.col("covered") == tokens, F.col("n")).otherwise(0))
+    return marked.groupBy("split_name", "source").agg(F.sum("n").alias("n_rows"), of(SAME).alias("n_same"), of(NEAR).alias("n_near_only"))
