@@ -12,20 +12,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.support import BROADCAST_ROWS, stored
+from varloom.support import small, stored
 
 #: Successive words that make a leak, and edits (characters) that a near leak may hold.
 MIN_WORDS, BUDGET = 10, 1
 
-#: Times that brackets are taken off, one level of nesting each time.
-NESTING = 2
+#: Words of items whose pieces go along to the tasks at a time; more items are taken in blocks, one pass over the corpus each.
+BLOCK_WORDS = 2_000_000
 
-#: Documents whose words a task holds at a time.
-LOT = 500
+#: Words of an item that are handled as one; longer items are cut into stretches that overlap.
+STRETCH = 4096
 
-WORD = re.compile(r"[^\W_]+")
+#: Documents whose words a task holds at a time, and hits of pieces that it compares at a time.
+LOT, HITS_AT_ONCE = 500, 500_000
 
-HITS = pa.schema([("doc", pa.int64()), ("piece_hash", pa.int64()), *[(n, pa.list_(pa.string())) for n in ("found", "d_left", "d_right")]])
+WORD, BRACKET = re.compile(r"[^\W_]+"), re.compile(r"[()\[\]]")
+
+HITS = pa.schema([("doc", pa.int64()), ("stretch", pa.int64()), ("at", pa.int32()), ("found", pa.list_(pa.string()))])
 
 
 def words_in(text: str | None) -> list[str]:
@@ -34,12 +37,39 @@ def words_in(text: str | None) -> list[str]:
 
 
 def without_brackets(text: Column) -> Column:
-    """The text with what stands in round or square brackets left out, down to NESTING levels."""
-    for _ in range(NESTING):
+    """The text with what stands in round or square brackets left out, down to two levels; unnested() takes off what is left."""
+    for _ in range(2):
         text = F.regexp_replace(text, r"\([^()\[\]]*+\)|\[[^()\[\]]*+\]", " ")
     return text
 
 
+def unnested(text: str | None) -> str:
+    """The text with everything in matching round or square brackets left out, at any depth; brackets without partner stay.
+
+    A bracket that stays also keeps those round it from matching.
+    """
+    if not text or ("(" not in text and "[" not in text):
+        return text or ""
+    spans: list[tuple[int, int]] = []
+    still_open: list[int] = []
+    for m in BRACKET.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark in "([":
+            still_open.append(at)
+        elif still_open and text[still_open[-1]] + mark in ("()", "[]"):
+            start = still_open.pop()
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, at + 1))
+        else:
+            still_open.clear()
+    kept, end = [], 0
+    for start, stop in spans:
+        kept.append(text[end:start])
+        end = stop
+    return " ".join([*kept, text[end:]])
+
+
 def edit_distance(pattern: str, text: str) -> int:
     """The least edits that turn the pattern into some part of the text (Myers' bit vectors)."""
     m = len(pattern)
@@ -65,22 +95,20 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
-def _windows_distance(left: list[str], piece: list[str], right: list[str], text: str, size: int) -> int:
-    """The least distance of any run of `size` item words round the piece from the text."""
-    run = [*left, *piece, *right]
-    best = 1 << 30
-    windows = [f" {' '.join(run[start : start + size])} " for start in range(max(0, len(run) - size) + 1)]
-    if any(x in text for x in windows):
-        return 0
-    for window in windows:
-        best = min(best, edit_distance(window, text))
-    return best
+def _distance(size: int, min_words: int, budget: int):
+    """The least distance from the found words of any run of min_words item words that holds the piece at a place."""
 
+    def least(words: list[str], at: int, found: list[str]) -> int:
+        text, best = f" {' '.join(found)} ", 1 << 30
+        for start in range(min(at, len(words) - min_words), max(-1, at + size - min_words - 1), -1):
+            best = min(best, edit_distance(f" {' '.join(words[start : start + min_words])} ", text))
+            if best == 0:
+                break
+        return best
 
-def _distance(size: int):
     @F.pandas_udf("int")
-    def distance(left: pd.Series, piece: pd.Series, right: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_windows_distance(list(a), list(p), list(b), f" {' '.join(t)} ", size) for a, p, b, t in zip(left, piece, right, found)], dtype="int32")
+    def distance(words: pd.Series, at: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([least(list(w), int(a), list(f)) for w, a, f in zip(words, at, found)], dtype="int32")
 
     return distance
 
@@ -95,117 +123,157 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def item_pieces(items: DataFrame, item_id: str, text: str, min_words: int, budget: int) -> DataFrame:
-    """(piece_hash, item, piece, i_left, i_right): a piece from every word of each item on, with the words beside it.
-
-    An edit changes two words at most, so budget edits leave min_words less
-    2 * budget words of a run in at most budget + 1 stretches, of which the
-    longest has a piece's words or more.
-    """
-    size, side = piece_size(min_words, budget), min_words - piece_size(min_words, budget)
+def item_stretches(items: DataFrame, item_id: str, text: str, min_words: int) -> DataFrame:
+    """(item, stretch, words): the words of each item, long ones in stretches of which every min_words successive words share one."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for item, text in zip(pdf["item"], pdf["text"]):
                 w = words_in(text)
-                for at in range(len(w) - size + 1) if len(w) >= min_words else ():
-                    piece = w[at : at + size]
-                    value = run_hashes(np.array([zlib.crc32(x.encode()) for x in piece], np.uint64), size).view(np.int64)[0]
-                    rows.append((value, item, piece, w[max(0, at - side) : at], w[at + size : at + size + side]))
-            yield pd.DataFrame(rows, columns=["piece_hash", "item", "piece", "i_left", "i_right"])
+                for at in range(0, max(1, len(w) - min_words + 1), STRETCH) if len(w) >= min_words else ():
+                    rows.append((item, at, w[at : at + STRETCH + min_words - 1]))
+            yield pd.DataFrame(rows, columns=["item", "at", "words"])
 
-    schema = "piece_hash long, item long, piece array<string>, i_left array<string>, i_right array<string>"
-    return items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, schema)
+    named = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text}`").alias("text")).mapInPandas(cut, "item long, at int, words array<string>")
+    return named.distinct().select("item", F.xxhash64("item", "at", "words").alias("stretch"), "words")
 
 
 def piece_size(min_words: int, budget: int) -> int:
     return max(1, -((2 * budget - min_words) // (budget + 1)))
 
 
-def piece_hits(docs: DataFrame, pieces: DataFrame, size: int, side: int) -> DataFrame:
-    """(doc, item, i_left, piece, i_right, d_left, d_right) wherever a piece stands in a document.
+class _Pieces:
+    """The pieces of a block of item stretches, ready to be looked up by the hash of a run of words.
+
+    Words are kept as hashes, stretch after stretch with gaps between, so that
+    the words round a piece can be compared for many hits at once.
+    """
+
+    def __init__(self, rows: list, size: int, gap: int):
+        lists = [np.array([zlib.crc32(w.encode()) for w in r.words], np.int64) for r in rows]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        self.stretch = np.array([r.stretch for r in rows], np.int64)
+        self.first = gap + np.cumsum(np.concatenate([[0], lengths + gap]))[:-1].astype(np.int64)
+        self.end = self.first + lengths
+        self.words = np.full(int(self.end[-1]) + gap if rows else gap, -1, np.int64)
+        for at, x in zip(self.first, lists):
+            self.words[at : at + len(x)] = x
+        of = np.repeat(np.arange(len(rows)), np.maximum(lengths - size + 1, 0))
+        place = np.concatenate([at + np.arange(max(0, n - size + 1)) for at, n in zip(self.first, lengths)]) if rows else np.zeros(0, np.int64)
+        hashes = run_hashes(self.words.astype(np.uint64), size)[place].view(np.int64) if len(place) else np.zeros(0, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.place, self.of = hashes[order], place[order], of[order]
+
+
+def _likely(pieces: _Pieces, doc: np.ndarray, at: np.ndarray, hit: np.ndarray, size: int, min_words: int, budget: int) -> np.ndarray:
+    """Which hits (doc place, piece) can belong to a run of min_words item words within the budget.
+
+    Only the first piece of a stretch of equal words is kept, as the run may
+    be moved back to it. An edit changes two words at most and shifts the words
+    behind it by one, so all but 2 * budget words of some run round the piece
+    stand in the document at most `budget` places from their own.
+    """
+    place, side = pieces.place[hit], min_words - size
+    keep = doc[at - 1] != pieces.words[place - 1]
+    index, at, place, row = np.nonzero(keep)[0], at[keep], place[keep], pieces.of[hit[keep]]
+    same = np.ones((len(at), size + 2 * side), np.int8)
+    for j in (*range(-side, 0), *range(size, size + side)):
+        word = pieces.words[place + j]
+        same[:, j + side] = np.any([doc[at + j + s] == word for s in range(-budget, budget + 1)], axis=0)
+    total = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+    good = np.zeros(len(at), bool)
+    for start in range(side + 1):
+        low = place + start - side
+        inside = (low >= pieces.first[row]) & (low + min_words <= pieces.end[row])
+        good |= inside & (total[:, start + min_words] - total[:, start] >= min_words - 2 * budget)
+    return index[good]
+
+
+def piece_hits(docs: DataFrame, pieces: _Pieces, size: int, min_words: int, budget: int) -> DataFrame:
+    """(doc, stretch, at, found) wherever a piece stands in a document amid enough words of its item.
 
     `docs` is (doc, text). The words of each text are hashed, neighbouring
-    hashes are combined over whole batches at once, and only runs whose hash is
-    a piece's leave the task, with the words beside them. The pieces' hashes go
-    along to the tasks while a count shows them to be few; beyond that every
-    run goes to a shuffle join. Hash hits are compared word by word.
+    hashes are combined over whole batches at once, and runs whose hash is a
+    piece's are hits; `at` is the piece's first word in its stretch, `found` the
+    document's words round it. What is no likely leak never leaves the task.
     """
-    few = pieces.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = np.array(sorted(r[0] for r in pieces.select("piece_hash").distinct().collect()), np.int64) if few else None
+    shared, side = docs.sparkSession.sparkContext.broadcast(pieces), min_words - size + budget
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: _Pieces = shared.value
         known: dict[str, int] = {}
         for batch in batches:
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), LOT):
+            for first in range(0, len(ids), LOT):
                 if len(known) > 500_000:
                     known.clear()
-                split = [words_in(t) for t in texts[at : at + LOT]]
-                hashes = []
+                split = [words_in(unnested(t)) for t in texts[first : first + LOT]]
+                hashes = [-2] * side
                 for w in split:
                     for x in w:
                         h = known.get(x)
                         if h is None:
                             h = known[x] = zlib.crc32(x.encode())
                         hashes.append(h)
-                ends = np.cumsum([len(w) for w in split])
-                runs = run_hashes(np.array(hashes, np.uint64), size).view(np.int64)
-                places = np.arange(len(runs))
-                if wanted is not None:
-                    near = np.minimum(np.searchsorted(wanted, runs), max(0, len(wanted) - 1))
-                    places = places[wanted[near] == runs] if len(wanted) else places[:0]
-                of = np.searchsorted(ends, places, side="right")
-                inside = places + size <= ends[of] if len(places) else np.zeros(0, bool)
+                    hashes.extend([-2] * side)
+                doc = np.array(hashes, np.int64)
+                runs = run_hashes(doc.astype(np.uint64), size).view(np.int64)
+                begins = side + np.cumsum([0, *[len(w) + side for w in split]])
+                low = np.searchsorted(wanted.hashes, runs, side="left")
+                seen = np.nonzero(wanted.hashes[np.minimum(low, max(0, len(wanted.hashes) - 1))] == runs)[0] if len(wanted.hashes) else np.zeros(0, np.int64)
+                high = np.searchsorted(wanted.hashes, runs[seen], side="right")
                 rows = []
-                for place, doc in zip(places[inside].tolist(), of[inside].tolist()):
-                    w = split[doc]
-                    i = place - int(ends[doc]) + len(w)
-                    rows.append((ids[at + doc], int(runs[place]), w[i : i + size], w[max(0, i - side) : i], w[i + size : i + size + side]))
+                counts = high - low[seen]
+                bounds = np.concatenate([[0], np.nonzero(np.diff(np.cumsum(counts) // HITS_AT_ONCE))[0] + 1, [len(seen)]])
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    n = counts[a:b]
+                    at = np.repeat(seen[a:b], n)
+                    hit = np.repeat(low[seen[a:b]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    for k in _likely(wanted, doc, at, hit, size, min_words, budget):
+                        d = int(np.searchsorted(begins, at[k], side="right")) - 1
+                        w, i, row = split[d], int(at[k] - begins[d]), wanted.of[hit[k]]
+                        rows.append((ids[first + d], int(wanted.stretch[row]), int(wanted.place[hit[k]] - wanted.first[row]), w[max(0, i - side) : i + size + side]))
                 columns = list(zip(*rows)) if rows else [[] for _ in HITS]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, HITS.types)], schema=HITS)
 
-    hits = docs.mapInArrow(find, "doc long, piece_hash long, found array<string>, d_left array<string>, d_right array<string>")
-    joined = hits.join(F.broadcast(pieces) if few else pieces, "piece_hash")
-    return joined.filter(F.col("found") == F.col("piece")).select("doc", "item", "i_left", "piece", "i_right", "d_left", "d_right")
-
-
-def _same(a: Column, b: Column) -> Column:
-    """How many leading words two arrays share."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
-    return F.when(differ > 0, differ - 1).otherwise(F.greatest(F.size(a), F.size(b))).cast("int")
+    return docs.mapInArrow(find, "doc long, stretch long, at int, found array<string>")
 
 
 def leaked_passages(
     corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = MIN_WORDS, budget: int = BUDGET
 ) -> DataFrame:
-    """(doc, item, run, distance): every document and item that share a passage.
-
-    Each item is split into pieces and exact hits of pieces are found in the
-    corpus. An edit changes two words at most (a space lost or gained), so a hit
-    goes on only if all but 2 * budget of the other words of a run stand beside
-    it. Myers' bit-parallel distance then verifies the min_words words round it:
-    a pair stays if some run of that many item words stands in the
-    document with at most `budget` edits. `distance` is the least found, `run`
-    the longest run of equal words seen round a hit, up to twice min_words less
-    a piece. Passages of min_words equal words are all found; with edits, all
-    of min_words plus a piece less one.
+    """(doc, item, distance): every document and item that share a passage of min_words words with at most `budget` edits.
+
+    Pigeonhole: an edit changes two words of an item at most (a space lost), so
+    budget edits leave all but 2 * budget words of a run equal, in at most
+    budget + 1 stretches, and the longest holds a piece of piece_size() words.
+    Pieces start at every word of an item. Their exact hits in the corpus are
+    compared with the words round them, and Myers' bit-parallel distance decides
+    what is left: a pair stays if some run of min_words item words stands in the
+    document with at most `budget` edits. `distance` is the least one; 0 says
+    that min_words successive words are equal.
+
+    The pieces go along to the tasks as arrays of a bounded size. Items of more
+    than BLOCK_WORDS words in all are taken in blocks, with one pass over the
+    corpus each, so nothing depends on how many there are.
 
     Defined results: words are compared without regard to case, punctuation,
-    line breaks and anything in brackets in the document; one row per pair;
-    items of fewer than min_words words, null and empty texts match nothing;
-    texts are taken whole, of any length. A hot passage meets no shuffle before
-    its hits are verified.
+    line breaks and anything in brackets in the document, at any depth; one row
+    per pair; items of fewer than min_words words, null and empty texts match
+    nothing; texts are taken whole, of any length. A hot passage meets no
+    shuffle before its hits are verified.
     """
     size = piece_size(min_words, budget)
-    pieces = stored(item_pieces(items, item_id, item_text, min_words, budget))
+    stretches = stored(item_stretches(items, item_id, item_text, min_words))
     docs = corpus.select(F.col(f"`{doc_id}`").alias("doc"), without_brackets(F.col(f"`{text}`")).alias("text"))
-    hits = piece_hits(docs, pieces, size, min_words - size + budget)  # an edit may split a word
-    context = F.concat("d_left", "d_right")
-    known = F.size(F.filter(F.concat("i_left", "i_right"), lambda x: F.array_contains(context, x)))
-    hits = hits.filter(known >= min_words - size - 2 * budget)
-    run = F.lit(size) + _same(F.reverse("i_left"), F.reverse("d_left")) + _same(F.col("i_right"), F.col("d_right"))
-    near = _distance(min_words)("i_left", "piece", "i_right", F.concat("d_left", "piece", "d_right"))
-    checked = hits.select("doc", "item", run.alias("run"), near.alias("distance")).filter(F.col("distance") <= budget)
-    return checked.groupBy("doc", "item").agg(F.max("run").alias("run"), F.min("distance").alias("distance"))
+    words = stretches.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-words // BLOCK_WORDS))
+    found = None
+    for block in range(blocks):
+        rows = stretches.filter(F.pmod("stretch", F.lit(blocks)) == block).orderBy("stretch").collect()
+        hits = piece_hits(docs, _Pieces(rows, size, min_words + budget), size, min_words, budget)
+        found = hits if found is None else found.unionByName(hits)
+    near = _distance(size, min_words, budget)("words", "at", "found")
+    checked = found.join(small(stretches, keep=False), "stretch").select("doc", "item", near.alias("distance")).filter(F.col("distance") <= budget)
+    return checked.groupBy("doc", "item").agg(F.min("distance").alias("distance"))

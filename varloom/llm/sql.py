@@ -27,6 +27,18 @@ parts AS (
 )
 """
 
+_GROUPS = r"""
+every AS (
+  SELECT syn_id, upper(regexp_replace(regexp_replace(part, '(?i)^[^\p{L}\p{N}]*(gene|genes|symbol|locus)([^\p{L}\p{N}]|$)', ''), '[^\p{L}\p{N}]+', '', 'g')) AS name
+  FROM (SELECT syn_id, unnest(string_split_regex(gene_id, '[,;/|]')) AS part FROM synonymous)
+),
+links AS (SELECT syn_id, coalesce(symbol, '?' || e.name) AS entity FROM every e LEFT JOIN dictionary d ON e.name = d.name WHERE e.name <> ''),
+ties AS (SELECT DISTINCT a.entity AS x, b.entity AS y FROM links a JOIN links b USING (syn_id)),
+reach(x, y) AS (SELECT x, y FROM ties UNION SELECT r.x, t.y FROM reach r JOIN ties t ON r.y = t.x),
+lowest AS (SELECT x AS entity, min(y) AS component FROM reach GROUP BY x),
+groups AS (SELECT s.syn_id, coalesce(min(component), '#' || s.syn_id) AS group_id FROM synonymous s LEFT JOIN links USING (syn_id) LEFT JOIN lowest USING (entity) GROUP BY s.syn_id)
+"""
+
 _CHANGES = r"""
 bare AS (
   SELECT row_id, split_name, source, split_name = 'train' AS is_train, CAST(pos AS BIGINT) AS pos,
@@ -68,10 +80,14 @@ ORACLE = {
         SELECT variant_id, min(variant_id) OVER (PARTITION BY pos, sample_id, c, r, a, i) AS kept_id FROM plain) WHERE kept_id <> variant_id""",
     "p1_calls": f"WITH {_CALLS} SELECT min(variant_id) AS variant_id, count(*) AS copies FROM plain GROUP BY pos, sample_id, c, r, a, i",
     "p2_found": f"WITH {_NAMES} SELECT DISTINCT syn_id, symbol AS gene_symbol FROM parts JOIN dictionary USING (name)",
+    "p2_groups": f"WITH RECURSIVE {_NAMES}, {_GROUPS} SELECT syn_id, group_id FROM groups",
+    "p2_kept": f"WITH RECURSIVE {_NAMES}, {_GROUPS} SELECT CAST(count(*) AS BIGINT) AS n_records, count(DISTINCT group_id) AS n_groups, count(DISTINCT group_id) AS n_in_one_split FROM groups",
     "p3_found": f"WITH {_CHANGES} SELECT least(train_id, eval_id) AS row_id_a, greatest(train_id, eval_id) AS row_id_b FROM pairs",
     "p3_report": f"""WITH {_CHANGES}, best AS (
         SELECT id, min(apart) AS apart FROM (SELECT train_id AS id, apart FROM pairs UNION ALL SELECT eval_id, apart FROM pairs) GROUP BY id)
       SELECT split_name, source, count(*) AS n_rows, count(*) FILTER (apart = 0) AS n_same, count(*) FILTER (apart = 1) AS n_near_only
       FROM changes LEFT JOIN best ON row_id = id GROUP BY ALL""",
     "p6_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.h = i.h AND d.run = i.run",
+    "p6_exact_items": f"""WITH {_PASSAGES}, found AS (SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.h = i.h AND d.run = i.run)
+      SELECT item_id, item_set, count(*) AS n_exact FROM found JOIN eval_passages USING (item_id) GROUP BY ALL""",
 }
