@@ -123,11 +123,24 @@ def test_mutation_string_and_parts(spark):
 def test_motifs(spark):
     df = parts(spark, "ACGT[A/C]CGTACG", "[A/C]")
     m = {n: F.col(n) for n in ("head", "ref", "alt", "tail", "before", "after")}
-    f = sequence.motif_feature(m, [sequence.motif_hits(["TACG", "TCCG"], 4)])
-    got = df.select(f["n_old"], f["n_lost"], f["n_gained"], f["lost"]).collect()
+    motifs = spark.createDataFrame([("tacg",), ("TCCG",), ("TCCG",), ("TCG",), ("TNCG",), (None,)], "motif string")
+    f = sequence.motif_feature(m, [sequence.motif_hits("bits", 4)])
+    got = df.withColumn("bits", sequence.motif_bits(motifs, "motif", 4)).select(f["n_old"], f["n_lost"], f["n_gained"], f["lost"]).collect()
     assert tuple(got[0]) == (2, 0, 0, 0.0) and tuple(got[1]) == (0, 0, 0, None)
 
 
+@pytest.mark.parametrize("width", [2, 6, 8])
+def test_motif_places_against_brute_force(spark, width):
+    rng = random.Random(width)
+    words = {"".join(rng.choice("ACGT") for _ in range(width)) for _ in range(60)} | {"A" * width, "T" * width}
+    seqs = ["".join(rng.choice("ACGTN" if i % 3 else "AT") for _ in range(rng.choice([0, 1, width, 400]))) for i in range(30)] + [None, "T" * 50]
+    df = spark.createDataFrame([(s,) for s in seqs], "s string").withColumn("bits", sequence.motif_bits(spark.createDataFrame([(w,) for w in words], "motif string"), "motif", width))
+    got = [(r.s, r.hits) for r in df.select("s", sequence.motif_hits("bits", width)(F.col("s")).alias("hits")).collect()]
+    assert all(hits == [i + 1 for i in range(len(s) - width + 1) if s[i : i + width] in words] for s, hits in got if s is not None)
+    empty = df.select("s").withColumn("bits", sequence.motif_bits(spark.createDataFrame([], "motif string"), "motif", width))
+    assert all(not r[0] for r in empty.select(sequence.motif_hits("bits", width)(F.col("s"))).collect())
+
+
 def test_cpg_positions_crop_and_ratio(spark):
     df = parts(spark, "AAA|CC[C/T]GA|GGG")
     m = {n: F.col(n) for n in ("head", "ref", "alt", "tail", "before", "after")}

@@ -12,24 +12,24 @@ BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 # Occurrences of each human codon in a thousand.
-CODON_USAGE = """
-TTT 17.6 TCT 15.2 TAT 12.2 TGT 10.6
-TTC 20.3 TCC 17.7 TAC 15.3 TGC 12.6
-TTA 7.7 TCA 12.2 TAA 1.0 TGA 1.6
-TTG 12.9 TCG 4.4 TAG 0.8 TGG 13.2
-CTT 13.2 CCT 17.5 CAT 10.9 CGT 4.5
-CTC 19.6 CCC 19.8 CAC 15.1 CGC 10.4
-CTA 7.2 CCA 16.9 CAA 12.3 CGA 6.2
-CTG 39.6 CCG 6.9 CAG 34.2 CGG 11.4
-ATT 16.0 ACT 13.1 AAT 17.0 AGT 12.1
-ATC 20.8 ACC 18.9 AAC 19.1 AGC 19.5
-ATA 7.5 ACA 15.1 AAA 24.4 AGA 12.2
-ATG 22.0 ACG 6.1 AAG 31.9 AGG 12.0
-GTT 11.0 GCT 18.4 GAT 21.8 GGT 10.8
-GTC 14.5 GCC 27.7 GAC 25.1 GGC 22.2
-GTA 7.1 GCA 15.8 GAA 29.0 GGA 16.5
-GTG 28.1 GCG 7.4 GAG 39.6 GGG 16.5
-"""
+CODON_USAGE = {
+    "TTT": 17.6, "TCT": 15.2, "TAT": 12.2, "TGT": 10.6,
+    "TTC": 20.3, "TCC": 17.7, "TAC": 15.3, "TGC": 12.6,
+    "TTA": 7.7, "TCA": 12.2, "TAA": 1.0, "TGA": 1.6,
+    "TTG": 12.9, "TCG": 4.4, "TAG": 0.8, "TGG": 13.2,
+    "CTT": 13.2, "CCT": 17.5, "CAT": 10.9, "CGT": 4.5,
+    "CTC": 19.6, "CCC": 19.8, "CAC": 15.1, "CGC": 10.4,
+    "CTA": 7.2, "CCA": 16.9, "CAA": 12.3, "CGA": 6.2,
+    "CTG": 39.6, "CCG": 6.9, "CAG": 34.2, "CGG": 11.4,
+    "ATT": 16.0, "ACT": 13.1, "AAT": 17.0, "AGT": 12.1,
+    "ATC": 20.8, "ACC": 18.9, "AAC": 19.1, "AGC": 19.5,
+    "ATA": 7.5, "ACA": 15.1, "AAA": 24.4, "AGA": 12.2,
+    "ATG": 22.0, "ACG": 6.1, "AAG": 31.9, "AGG": 12.0,
+    "GTT": 11.0, "GCT": 18.4, "GAT": 21.8, "GGT": 10.8,
+    "GTC": 14.5, "GCC": 27.7, "GAC": 25.1, "GGC": 22.2,
+    "GTA": 7.1, "GCA": 15.8, "GAA": 29.0, "GGA": 16.5,
+    "GTG": 28.1, "GCG": 7.4, "GAG": 39.6, "GGG": 16.5,
+}
 
 
 @cache
@@ -40,10 +40,8 @@ def codon_rows() -> list[tuple[str, str, float, float]]:
     over their summed frequency.
     """
     code = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
-    words = CODON_USAGE.split()
-    usage = {codon: float(n) for codon, n in zip(words[::2], words[1::2])}
     family = {aa: [c for c in code if code[c] == aa] for aa in set(code.values())}
-    return [(c, aa, usage[c], len(family[aa]) * usage[c] / sum(usage[x] for x in family[aa])) for c, aa in sorted(code.items())]
+    return [(c, aa, CODON_USAGE[c], len(family[aa]) * CODON_USAGE[c] / sum(CODON_USAGE[x] for x in family[aa])) for c, aa in sorted(code.items())]
 
 
 @cache
@@ -64,18 +62,30 @@ def synonymous_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(synonymous_changes(), "codon string, frame int, alt string")
 
 
-def _codon_map(place: int) -> Column:
-    return F.create_map(*[F.lit(x) for row in codon_rows() for x in (row[0], row[place])])
+def codon_number(codon: Column) -> Column:
+    """The place of a codon among the 64 in alphabetical order, from 0; null for anything else."""
+    plain = (F.length(codon) == 3) & (F.translate(codon, "ACGT", "") == "")
+    return F.when(plain, F.conv(F.translate(codon, "ACGT", "0123"), 4, 10).cast("int"))
+
+
+def amino_acid(number: Column) -> Column:
+    """One-letter amino acid of a codon by its number, `*` for a stop."""
+    return F.get(F.array(*[F.lit(aa) for _, aa, _, _ in codon_rows()]), number)
+
+
+def usage(number: Column) -> Column:
+    """Relative synonymous usage of a codon by its number."""
+    return F.get(F.array(*[F.lit(u) for _, _, _, u in codon_rows()]), number)
 
 
 def translated(codon: Column) -> Column:
     """One-letter amino acid of a codon, `*` for a stop, null for anything else."""
-    return F.try_element_at(_codon_map(1), codon)
+    return amino_acid(codon_number(codon))
 
 
 def rscu(codon: Column) -> Column:
     """Relative synonymous codon usage, null where the codon is none."""
-    return F.try_element_at(_codon_map(3), codon)
+    return usage(codon_number(codon))
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -11,8 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MUTATED = r"([ACGT]*)\[([ACGT])/([ACGT])\]([ACGT]*)"
-
 # Bases on either side of the change in which a motif can be lost or gained.
 FLANK = 7
 
@@ -89,17 +87,18 @@ def mutated_chunk(chunks: Column) -> Column:
 def mutation_parts(chunks: Column, index: Column) -> dict[str, Column]:
     """head, ref, alt and tail of the mutated chunk, and the chunks before and after it.
 
-    All are null where the chunk does not read as bases round one change; a
-    base outside ACGT cuts head and tail short.
+    The chunk is cut at `[`, `/` and `]`. All are null where it does not read as
+    bases round one change; a base outside ACGT cuts head and tail short.
     """
-    chunk = F.get(chunks, index)
-    ok = chunk.rlike(MUTATED)
-    part = lambda k: F.when(ok, F.regexp_extract(chunk, MUTATED, k))
+    parts = F.split(F.get(chunks, index), r"[\[/\]]", -1)
+    part = lambda k: F.get(parts, F.lit(k))
+    one_base = lambda c: (F.length(c) == 1) & (F.translate(c, "ACGT", "") == "")
+    ok = (F.size(parts) == 4) & one_base(part(1)) & one_base(part(2))
     return {
-        "head": part(1),
-        "ref": part(2),
-        "alt": part(3),
-        "tail": part(4),
+        "head": F.when(ok, F.regexp_extract(part(0), r"([ACGT]*)\z", 1)),
+        "ref": F.when(ok, part(1)),
+        "alt": F.when(ok, part(2)),
+        "tail": F.when(ok, F.regexp_extract(part(3), r"\A([ACGT]*)", 1)),
         "before": F.when(ok, F.slice(chunks, F.lit(1), index)),
         "after": F.when(ok, F.slice(chunks, index + 2, F.size(chunks))),
     }
@@ -147,27 +146,37 @@ def share(part: Column, base: Column) -> Column:
     return F.try_divide(part.cast("double"), (part + base).cast("double"))
 
 
-def motif_list(motifs: DataFrame, column: str, width: int, limit: int = 100_000) -> list[str]:
-    """The distinct motifs of that width; a table of more than `limit` is refused, since it becomes part of the plan."""
-    rows = motifs.select(F.upper(F.col(column)).alias("m")).filter(F.length("m") == width).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} motifs")
-    return sorted(r.m for r in rows)
+def motif_bits(motifs: DataFrame, column: str, width: int) -> Column:
+    """The set of all motifs of that width as a column: a scalar subquery that gives an array of 4 ** width bits.
+
+    A word of bases is a number with a digit for each base, and its bit stands
+    at that number, 64 to an entry. So the set has the same size however many
+    motifs there are, and a word is looked up in one step. Words with anything
+    but ACGT are in no set.
+    """
+    word = F.upper(F.col(column))
+    numbers = motifs.select(word.alias("m")).filter((F.length("m") == width) & (F.translate("m", "ACGT", "") == "")).select(F.conv(F.translate("m", "ACGT", "0123"), 4, 10).cast("long").alias("n"))
+    entries = numbers.groupBy(F.floor(F.col("n") / 64).cast("int").alias("entry")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(n % 64 AS INT))")).alias("bits"))
+    found = entries.agg(F.map_from_entries(F.collect_list(F.struct("entry", "bits"))).alias("found"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(max(1, 4**width // 64) - 1)), lambda e: F.coalesce(F.try_element_at("found", e), F.lit(0).cast("long")))
+    return found.select(whole.alias("bits")).scalar()
 
 
-def motif_hits(motifs: list[str], width: int):
-    """A function from a sequence to the places at which one of the motifs begins.
+def motif_hits(bits: str, width: int):
+    """A function from a sequence to the places at which a motif of the set in the column `bits` begins.
 
-    The words are put together letter by letter over the whole sequence, in
-    time that grows with its length, and looked up in a hash set in the plan.
+    The numbers of the words are put together base by base over the whole
+    sequence, in time that grows with its length.
     """
 
     def places(seq: Column) -> Column:
-        first, *rest = _letters(seq, width)
-        words = first
-        for letters in rest:
-            words = F.zip_with(words, letters, lambda a, b: F.concat(a, b))
-        return _places(words, lambda w: w.isin(motifs) if motifs else F.lit(False))
+        digits = F.transform(F.split(F.translate(seq, "ACGT", "0123"), ""), lambda c: c.try_cast("int"))
+        n = F.greatest(F.lit(0), F.length(seq) - (width - 1))
+        numbers = F.slice(digits, F.lit(1), n)
+        for k in range(1, width):
+            numbers = F.zip_with(numbers, F.slice(digits, F.lit(1 + k), n), lambda x, d: x * 4 + d)
+        is_hit = lambda n: F.coalesce(F.getbit(F.get(F.col(bits), F.floor(n / 64).cast("int")), n % 64) == 1, F.lit(False))
+        return _places(numbers, is_hit)
 
     return places
 

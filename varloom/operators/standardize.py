@@ -36,7 +36,7 @@ def discriminant(df: DataFrame, features: list[str], label: str) -> list[float]:
 
     Class means and sample covariances come from one aggregate per class; only
     those numbers reach the driver, where the small system is solved. Rows with
-    a null feature or label do not count.
+    a null feature or label do not count; a feature without spread weighs 0.
     """
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     whole = df.select(F.col(label).alias("__y"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
@@ -49,7 +49,7 @@ def discriminant(df: DataFrame, features: list[str], label: str) -> list[float]:
             spread[i, j] += r[f"c_{a}_{b}"]
             spread[j, i] = spread[i, j]
     apart = np.array([by[1][f"m_{f}"] - by[0][f"m_{f}"] for f in features])
-    return [float(x) for x in np.linalg.solve(spread, apart)]
+    return [float(x) for x in np.linalg.lstsq(spread, apart)[0]]
 
 
 def weighted_sum(features: list[str], weights: list[float]) -> Column:

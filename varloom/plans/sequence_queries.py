@@ -7,11 +7,14 @@ so that the first and last third are exons and the middle one an intron.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import genetics, sequence, splice
+from varloom.functions.registry import Family, register, with_features
 from varloom.operators import generate, models, ranking, scoring, standardize
 from varloom.sources import genome
 from varloom.support import stored, table
@@ -33,16 +36,12 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("ref", ref).withColumn("alt", F.translate("ref", "ACGT", "GATC"))
 
 
-def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, marked: the sequence with its cuts and its change written into it."""
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, offset, s_ref, s_alt, marked and the parts of the marked sequence."""
     s = sequences(spark, sf_dir)
     edges = F.array(F.lit(0), F.col("a"), F.col("b"), F.length("seq"), F.lit(0))
-    return s.select("doc_id", sequence.mutation_string(F.col("seq"), edges, F.col("offset"), F.col("ref"), F.col("alt")).alias("marked"))
-
-
-def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
-    """The mutations with their parts as columns, and those columns by name."""
-    return sequence.with_parts(mutations(spark, sf_dir), "marked")
+    marked = sequence.mutation_string(F.col("seq"), edges, F.col("offset"), F.col("ref"), F.col("alt"))
+    return sequence.with_parts(s.select("doc_id", "seq", "offset", F.col("ref").alias("s_ref"), F.col("alt").alias("s_alt"), marked.alias("marked")), "marked")[0]
 
 
 def src_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,71 +53,92 @@ def src_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sequences(spark, sf_dir)
-    return genome.sizes(genome.chunked(s, "doc_id", "seq", 64)).select(F.col("name").alias("doc_id"), "size")
+    """The length of every sequence that has a base, however short."""
+    every = table(spark, sf_dir, "documents").select("doc_id", bases(F.col("text")).alias("seq"))
+    return genome.sizes(genome.chunked(every, "doc_id", "seq", 64)).select(F.col("name").alias("doc_id"), "size")
+
+
+def parts() -> dict[str, Column]:
+    """The parts of the marked sequence by name, as changed() has them."""
+    return {n: F.col(n) for n in ("head", "ref", "alt", "tail", "before", "after")}
 
 
 def seq_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, m = parsed(spark, sf_dir)
-    return df.select("doc_id", "marked", "head", "ref", "alt", "tail", sequence.splice_distance(m).alias("splice_distance"))
+    return changed(spark, sf_dir).select("doc_id", "marked", "head", "ref", "alt", "tail", sequence.splice_distance(parts()).alias("splice_distance"))
+
+
+#: The motif sets that stand in for published lists: name, subject whose samples they are drawn from, width.
+MOTIFS = (("enh", "science", 8), ("sup", "law", 8), ("sil", "procedure", 6))
 
 
-def _words(spark: SparkSession, sf_dir: str, subject: str, width: int) -> list[str]:
-    """The words of one width in the sequences of a subject's samples, which stand in for a motif list."""
+def _words(spark: SparkSession, sf_dir: str, subject: str, width: int) -> DataFrame:
+    """The words of one width in the sequences of a subject's samples."""
     seqs = table(spark, sf_dir, "subject_samples").filter(F.col("subject") == subject).select(bases(F.col("text")).alias("s")).filter(F.length("s") >= width)
-    words = seqs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - (width - 1)), lambda i: F.substring("s", i, F.lit(width)))).alias("motif"))
-    return sequence.motif_list(words, "motif", width)
+    return seqs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - (width - 1)), lambda i: F.substring("s", i, F.lit(width)))).alias("motif"))
 
 
-def seq_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_motifs(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """df with the bits of each motif set."""
+    return df.select("*", *[sequence.motif_bits(_words(spark, sf_dir, subject, width), "motif", width).alias(f"bits_{name}") for name, subject, width in MOTIFS])
+
+
+def _motif_features() -> dict[str, Column]:
     """Lost and gained enhancers and suppressors of eight bases and silencers of six."""
-    df, m = parsed(spark, sf_dir)
-    out = []
-    for name, subject, width in (("enh", "science", 8), ("sup", "law", 8), ("sil", "procedure", 6)):
-        words = _words(spark, sf_dir, subject, width)
-        f = sequence.motif_feature(m, [sequence.motif_hits(words, width)])
-        out += [f["n_old"].cast("long").alias(f"{name}_old"), F.round(f["lost"], 6).alias(f"{name}_lost"), F.round(f["gained"], 6).alias(f"{name}_gained")]
-    return df.select("doc_id", *out)
+    out = {}
+    for name, _, _ in MOTIFS:
+        n = {k: F.col(f"{name}_n_{k}") for k in ("old", "lost", "gained")}
+        out |= {f"{name}_lost": F.round(sequence.share(n["lost"], n["old"]), 6), f"{name}_gained": F.round(sequence.share(n["gained"], n["old"]), 6)}
+    return out
 
 
-def seq_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the weight matrices, summed over all four, lost and gained."""
-    df, m = parsed(spark, sf_dir)
-    f = sequence.motif_feature(m, [sequence.matrix_hits(n) for n in sorted(sequence.MATRICES)])
-    return df.select("doc_id", f["n_old"].cast("long").alias("n_old"), f["n_lost"].cast("long").alias("n_lost"), f["n_gained"].cast("long").alias("n_gained"), F.round(f["lost"], 6).alias("lost"), F.round(f["gained"], 6).alias("gained"))
+def _motif_counts() -> dict[str, Column]:
+    out = {}
+    for name, _, width in MOTIFS:
+        f = sequence.motif_feature(parts(), [sequence.motif_hits(f"bits_{name}", width)])
+        out |= {f"{name}_n_{k}": f[f"n_{k}"] for k in ("old", "lost", "gained")}
+    return out
 
 
-def seq_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, m = parsed(spark, sf_dir)
+def _matrix_counts() -> dict[str, Column]:
+    f = sequence.motif_feature(parts(), [sequence.matrix_hits(n) for n in sorted(sequence.MATRICES)])
+    return {f"sr_n_{k}": f[f"n_{k}"] for k in ("old", "lost", "gained")}
+
+
+def _matrix_features() -> dict[str, Column]:
+    return {f"sr_{k}": F.round(sequence.share(F.col(f"sr_n_{k}"), F.col("sr_n_old")), 6) for k in ("lost", "gained")}
+
+
+def _cpg_features() -> dict[str, Column]:
     cpg = sequence.makes_cpg(F.right("head", F.lit(1)), F.left("tail", F.lit(1)), F.col("ref"), F.col("alt"))
-    return df.select("doc_id", cpg.cast("int").alias("is_cpg"), F.round(sequence.cpg_ratio(sequence.exon_old(m)), 6).alias("cpg_exon"))
+    return {"is_cpg": cpg.cast("int"), "cpg_exon": F.round(sequence.cpg_ratio(F.col("exon")), 6)}
 
 
-def seq_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, m = parsed(spark, sf_dir)
-    f = sequence.relative_positions(F.col("marked"), m)
-    return df.select("doc_id", F.round(f["f_premrna"], 6).alias("f_premrna"), F.round(f["f_mrna"], 6).alias("f_mrna"))
+def _position_features() -> dict[str, Column]:
+    f = sequence.relative_positions(F.col("marked"), parts())
+    return {"f_premrna": F.round(f["f_premrna"], 6), "f_mrna": F.round(f["f_mrna"], 6)}
 
 
-def seq_codon_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codon of each change, whether the change is synonymous, and the usage then."""
-    s = sequences(spark, sf_dir)
-    frame = F.col("offset") % 3
+def _codons() -> dict[str, Column]:
     codon = genetics.codon_at(F.col("seq"), F.floor(F.col("offset") / 3).cast("int") + 1)
-    c = s.select("doc_id", codon.alias("codon"), frame.alias("frame"), "ref", "alt").filter(F.length("codon") == 3)
-    new = genetics.swapped(F.col("codon"), F.col("frame"), F.col("alt"))
-    both = c.withColumn("new_codon", new).withColumn("is_synonymous", genetics.is_synonymous(F.col("codon"), F.col("frame"), F.col("ref"), F.col("alt")))
-    usage, before = genetics.rscu(F.col("new_codon")), genetics.rscu(F.col("codon"))
-    return both.select(
-        "doc_id",
-        "codon",
-        "new_codon",
-        genetics.translated(F.col("codon")).alias("amino_acid"),
-        "is_synonymous",
-        F.when(F.col("is_synonymous"), F.round(usage, 6)).alias("rscu"),
-        F.when(F.col("is_synonymous"), F.round(F.abs(usage - before), 6)).alias("d_rscu"),
-        genetics.reverse_complement(F.col("codon")).alias("reverse"),
-    )
+    return {"codon": F.when(F.length(codon) == 3, codon), "frame": F.col("offset") % 3}
+
+
+def _new_codons() -> dict[str, Column]:
+    return {"new_codon": genetics.swapped(F.col("codon"), F.col("frame"), F.col("s_alt")), "codon_number": genetics.codon_number(F.col("codon"))}
+
+
+def _new_numbers() -> dict[str, Column]:
+    return {"new_number": genetics.codon_number(F.col("new_codon")), "amino_acid": genetics.amino_acid(F.col("codon_number"))}
+
+
+def _synonymous() -> dict[str, Column]:
+    return {"is_synonymous": F.col("amino_acid") == genetics.amino_acid(F.col("new_number"))}
+
+
+def _usage_features() -> dict[str, Column]:
+    """The usage of the new codon where the change is synonymous."""
+    new, old = genetics.usage(F.col("new_number")), genetics.usage(F.col("codon_number"))
+    return {"rscu": F.when(F.col("is_synonymous"), F.round(new, 6)), "d_rscu": F.when(F.col("is_synonymous"), F.round(F.abs(new - old), 6))}
 
 
 def site_strength(site: Column) -> Column:
@@ -127,25 +147,109 @@ def site_strength(site: Column) -> Column:
     return count("G") * 0.75 + count("T") * 0.5 - count("A") * 0.25 - count("C") * 0.125
 
 
-def _spliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
-    df, m = parsed(spark, sf_dir)
-    s = splice.spliced(m)
-    return df.select("doc_id", *[c.alias(n) for n, c in s.items()]), {n: F.col(n) for n in s}
+def _around() -> dict[str, Column]:
+    return {f"sp_{n}": c for n, c in splice.spliced(parts()).items()}
+
+
+def _sp() -> dict[str, Column]:
+    return {n: F.col(f"sp_{n}") for n in ("old", "new", "n_pre", "n_post")}
+
+
+def _junctions() -> dict[str, Column]:
+    both = (5, 3)
+    return {f"sp_kept{side}": splice.scored_junctions(_sp(), side, site_strength) for side in both} | {f"sp_known{side}": splice.known_junction(_sp(), side) for side in both}
+
+
+def _splice_features() -> dict[str, Column]:
+    """The seven junction features, the larger of both sides."""
+    f = splice.either_side(*[splice.junction_features(F.col(f"sp_kept{side}"), F.col(f"sp_known{side}")) for side in (5, 3)])
+    return {n: c.cast("int") if n.startswith(("mec", "mes_known")) else c for n, c in f.items()}
+
+
+def _domains() -> dict[str, Column]:
+    pre, post = sequence.cropped(F.expr("left(seq, offset)"), F.expr("substring(seq, offset + 2)"), DOMAIN)
+    return {"fold_pre": pre, "fold_post": post}
+
+
+def pairing_energy(domain: Column) -> Column:
+    """A plain stand-in for a folding energy: three for each G or C, two for each other base."""
+    gc = F.length(domain) - F.length(F.translate(domain, "GC", ""))
+    return -(gc * 3 + (F.length(domain) - gc) * 2) / F.lit(10.0)
+
+
+def pairing_variety(domain: Column) -> Column:
+    """A plain stand-in for an ensemble's diversity: how far the shares of the four bases are from one another."""
+    count = lambda b: F.length(domain) - F.length(F.translate(domain, b, ""))
+    return F.lit(1.0) * (count("A") + 1) * (count("C") + 1) * (count("G") + 1) * (count("T") + 1) / F.length(domain)
+
+
+def folding(scorer: Callable[[Column], Column], name: str) -> Family:
+    """A family of one feature, the log ratio of a scorer's values for the domain after and before the change."""
+    energy = lambda base: scorer(F.concat("fold_pre", base, "fold_post"))
+    return Family(name, lambda: {name: F.round(sequence.log_ratio(energy("s_ref"), energy("s_alt")), 9)})
+
+
+for family in (
+    Family("motifs", _motif_features, [_motif_counts]),
+    Family("matrices", _matrix_features, [_matrix_counts]),
+    Family("cpg", _cpg_features, [lambda: {"exon": sequence.exon_old(parts())}]),
+    Family("position", _position_features),
+    Family("usage", _usage_features, [_codons, _new_codons, _new_numbers, _synonymous]),
+    Family("splice", _splice_features, [_around, _junctions]),
+    Family("domains", dict, [_domains]),
+    folding(pairing_energy, "pdg"),
+    folding(pairing_variety, "pvar"),
+):
+    register(family)
+
+#: The families of the feature matrix, in the order of its columns.
+MATRIX = ["usage", "cpg", "matrices", "splice", "motifs", "position", "domains", "pdg", "pvar"]
+
+
+def seq_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_motifs(spark, sf_dir, changed(spark, sf_dir))
+    counts = df.select("doc_id", *[c.alias(n) for n, c in _motif_counts().items()])
+    return counts.select("doc_id", *[F.col(f"{n}_n_old").cast("long").alias(f"{n}_old") for n, _, _ in MOTIFS], *[c.alias(n) for n, c in _motif_features().items()])
+
+
+def seq_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the weight matrices, summed over all four, lost and gained."""
+    counts = changed(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in _matrix_counts().items()])
+    f = _matrix_features()
+    return counts.select("doc_id", F.col("sr_n_old").alias("n_old"), F.col("sr_n_lost").alias("n_lost"), F.col("sr_n_gained").alias("n_gained"), f["sr_lost"].alias("lost"), f["sr_gained"].alias("gained"))
+
+
+def seq_cpg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_features(changed(spark, sf_dir), ["doc_id"], ["cpg"])
+
+
+def seq_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_features(changed(spark, sf_dir), ["doc_id"], ["position"])
+
+
+def seq_codon_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codon of each change, whether the change is synonymous, and the usage then."""
+    s = sequences(spark, sf_dir).select("doc_id", "seq", "offset", F.col("alt").alias("s_alt"))
+    usage = with_features(s, ["doc_id", "codon", "new_codon", "amino_acid", "is_synonymous"], ["usage"]).filter("codon IS NOT NULL")
+    return usage.withColumn("reverse", genetics.reverse_complement(F.col("codon")))
+
+
+def _spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in _around().items()])
 
 
 def seq_splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct candidate sites of both sequences on either side."""
-    df, s = _spliced(spark, sf_dir)
-    both = None
+    df, both = _spliced(spark, sf_dir), None
     for side in (5, 3):
-        sites = df.select("doc_id", F.lit(side).alias("side"), F.explode(splice.junctions(s, side)).alias("junction"), "old", "new")
-        two = sites.select("doc_id", "side", "junction", F.explode(F.array(splice.site(F.col("old"), F.col("junction"), side), splice.site(F.col("new"), F.col("junction"), side))).alias("site"))
+        sites = df.select("doc_id", F.lit(side).alias("side"), F.explode(splice.junctions(_sp(), side)).alias("junction"), "sp_old", "sp_new")
+        two = sites.select("doc_id", "side", "junction", F.explode(F.array(splice.site(F.col("sp_old"), F.col("junction"), side), splice.site(F.col("sp_new"), F.col("junction"), side))).alias("site"))
         both = two if both is None else both.unionByName(two)
     return both.distinct()
 
 
 def seq_site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites scored by a plug-in, each distinct one once."""
+    """Sites scored by a Python plug-in, each distinct one once: how a scorer that is no expression is put in."""
 
     def gc(sites: pd.Series) -> pd.Series:
         return (sites.str.count("[GC]") / sites.str.len()).astype("float64")
@@ -154,26 +258,18 @@ def seq_site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven junction features, the larger of both sides."""
-    df, s = _spliced(spark, sf_dir)
-    kept = df.select("doc_id", *[splice.scored_junctions(s, side, site_strength).alias(f"kept{side}") for side in (5, 3)], *[splice.known_junction(s, side).alias(f"known{side}") for side in (5, 3)])
-    f = splice.either_side(*[splice.junction_features(F.col(f"kept{side}"), F.col(f"known{side}")) for side in (5, 3)])
-    return kept.select("doc_id", *[(c.cast("int") if n.startswith(("mec", "mes_known")) else c).alias(n) for n, c in f.items()])
+    return with_features(changed(spark, sf_dir), ["doc_id"], ["splice"])
 
 
 def seq_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of a plain pairing energy in a domain cut out round each change."""
-    s = sequences(spark, sf_dir)
-    pre, post = F.expr("left(seq, offset)"), F.expr("substring(seq, offset + 2)")
-    left, right = sequence.cropped(pre, post, DOMAIN)
-    cut = s.select("doc_id", "ref", "alt", left.alias("pre"), right.alias("post"))
+    df = with_features(sequences(spark, sf_dir).select("doc_id", "seq", "offset", F.col("ref").alias("s_ref"), F.col("alt").alias("s_alt")), ["doc_id", "fold_pre", "fold_post"], ["domains", "pdg"])
+    return df.withColumnsRenamed({"fold_pre": "pre", "fold_post": "post"})
 
-    def energy(base: str) -> Column:
-        whole = F.concat("pre", base, "post")
-        gc = F.length(whole) - F.length(F.regexp_replace(whole, "[GC]", ""))
-        return -(gc * 3 + (F.length(whole) - gc) * 2) / F.lit(10.0)
 
-    return cut.select("doc_id", "pre", "post", F.round(sequence.log_ratio(energy("ref"), energy("alt")), 9).alias("pdg"))
+def seq_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of a plain ensemble diversity in the same domain."""
+    return with_features(sequences(spark, sf_dir).select("doc_id", "seq", "offset", F.col("ref").alias("s_ref"), F.col("alt").alias("s_alt")), ["doc_id"], ["domains", "pvar"])
 
 
 def gen_all_synonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,19 +285,12 @@ def gen_matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of each change in one row, nulls as 0; what seq_matrix_ranks reads.
+    """The features of each change in one row, nulls as 0: one scan, one projection a step, no join.
 
-    Motifs, weight matrices (sr_), CpG, position, codon usage, splice sites and
-    folding. Conservation is missing: it is known by chromosome and position,
-    which documents do not have.
+    Conservation is missing: it is known by chromosome and position, which
+    documents do not have.
     """
-    matrices = seq_matrices(spark, sf_dir).select("doc_id", F.col("lost").alias("sr_lost"), F.col("gained").alias("sr_gained"))
-    usage = seq_codon_usage(spark, sf_dir).select("doc_id", "rscu", "d_rscu")
-    folding = seq_folding(spark, sf_dir).select("doc_id", "pdg")
-    joined = seq_motifs(spark, sf_dir).drop("enh_old", "sup_old", "sil_old")
-    for p in (matrices, seq_cpg(spark, sf_dir), seq_position(spark, sf_dir), usage, seq_splice(spark, sf_dir), folding):
-        joined = joined.join(p, "doc_id", "left")
-    return joined.na.fill(0)
+    return with_features(with_motifs(spark, sf_dir, changed(spark, sf_dir)), ["doc_id"], MATRIX).na.fill(0)
 
 
 def seq_matrix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +310,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_regions, src_sizes, seq_mutations, seq_motifs, seq_matrices, seq_cpg, seq_position, seq_codon_usage, seq_splice_sites,
-        seq_site_scores, seq_splice, seq_folding, gen_all_synonymous, gen_matched_controls, seq_feature_matrix, seq_matrix_ranks,
+        seq_site_scores, seq_splice, seq_folding, seq_variety, gen_all_synonymous, gen_matched_controls, seq_feature_matrix, seq_matrix_ranks,
     )
 }
 
@@ -312,7 +401,7 @@ every AS (SELECT doc_id, site, ref, alt, {_cpg("CASE WHEN site > 0 THEN seq[site
 
 ORACLE = {
     "src_regions": f"WITH {_SEQ} SELECT doc_id AS region_id, greatest(o - 50, 0) AS start, least(o + 100, n) AS \"end\", seq[greatest(o - 50, 0) + 1:least(o + 100, n)] AS seq FROM s",
-    "src_sizes": f"WITH {_SEQ} SELECT doc_id, n AS size FROM s",
+    "src_sizes": f"WITH {_SEQ} SELECT doc_id, length(seq) AS size FROM seqs WHERE length(seq) > 0",
     "seq_mutations": f"""WITH {_SEQ} SELECT doc_id, CASE WHEN o < a THEN mark || '|' || seq[a + 1:b] || '|' || seq[b + 1:] WHEN o < b THEN seq[1:a] || '|' || mark || '|' || seq[b + 1:]
         ELSE seq[1:a] || '|' || seq[a + 1:b] || '|' || mark END AS marked, head, ref, alt, tail, CAST(least(n_head, n_tail) AS INT) AS splice_distance
       FROM (SELECT *, head || '[' || ref || '/' || alt || ']' || tail AS mark FROM m)""",
@@ -347,3 +436,26 @@ ORACLE = {
       SELECT doc_id, site, ref, alt, matched FROM (SELECT e.*, has_cpg = cpg AND NOT near_splice AS matched FROM every e JOIN want USING (doc_id))
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY NOT matched, md5('1:' || doc_id || ':' || site || ':' || alt)) = 1""",
 }
+
+
+def _variety(base: str) -> str:
+    whole = f"(pre || {base} || post)"
+    n = lambda b: f"(length({whole}) - length(replace({whole}, '{b}', '')) + 1)"
+    return f"({n('A')} * {n('C')} * {n('G')} * {n('T')} / length({whole}))"
+
+
+_DOMAINS = ORACLE["seq_folding"].split("      e AS")[0].rstrip().rstrip(",")
+ORACLE["seq_variety"] = f"{_DOMAINS} SELECT doc_id, round(-log10({_variety('alt')} / {_variety('ref')}), 9) AS pvar FROM c"
+_ZEROS = {
+    "seq_codon_usage": ("rscu", "d_rscu"), "seq_cpg": ("is_cpg", "cpg_exon"), "seq_matrices": ("lost AS sr_lost", "gained AS sr_gained"),
+    "seq_splice": ("mes", "d_mes", "mes_gain", "mes_loss", "mec_max_changed", "mec_is_cryptic", "mes_known_most"),
+    "seq_motifs": tuple(f"{n}_{k}" for n, _, _ in MOTIFS for k in ("lost", "gained")), "seq_position": ("f_premrna", "f_mrna"), "seq_folding": ("pdg",), "seq_variety": ("pvar",),
+}
+ORACLE["seq_feature_matrix"] = (
+    "SELECT doc_id, "
+    + ", ".join(f"coalesce({name}.{c.split(' AS ')[0]}, 0) AS {c.split(' AS ')[-1]}" for name, columns in _ZEROS.items() for c in columns)
+    + " FROM ("
+    + ORACLE["seq_mutations"]
+    + ") every "
+    + " ".join(f"LEFT JOIN ({ORACLE[name]}) {name} USING (doc_id)" for name in _ZEROS)
+)

@@ -22,7 +22,7 @@ def _transcripts(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> Da
     return t.withColumn("reason", F.col("frame_reason")) if in_frame else t
 
 
-def _snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variants(spark, sf_dir).filter(v.is_snv(F.col("ref"), F.col("alt")) & (F.col("chrom") != "Y"))
 
 
@@ -42,7 +42,7 @@ def src_allele_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt_snv_not_y(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snvs(spark, sf_dir).select("variant_id", "chrom", "pos", "ref", "alt")
+    return clean_snvs(spark, sf_dir).select("variant_id", "chrom", "pos", "ref", "alt")
 
 
 def flt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def join_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
     usable = _transcripts(spark, sf_dir, in_frame).filter("reason IS NULL").select("chrom", "tx", "gene", "cds_start", "cds_end", (F.col("tx_end") - F.col("tx_start")).alias("tx_length")).distinct()
-    return intervals.point_in_interval(_snvs(spark, sf_dir).select("variant_id", "chrom", "pos"), usable, "chrom", "pos", "cds_start", "cds_end")
+    return intervals.point_in_interval(clean_snvs(spark, sf_dir).select("variant_id", "chrom", "pos"), usable, "chrom", "pos", "cds_start", "cds_end")
 
 
 def join_transcripts(spark: SparkSession, sf_dir: str, in_frame: bool = False) -> DataFrame:
