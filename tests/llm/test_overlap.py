@@ -3,6 +3,7 @@ import random
 from varloom.llm import overlap
 
 SCHEMA = "row_id long, split_name string, source string, chrom string, pos long, ref string, alt string, tokens string, text_id string"
+ALSO = ["split_name", "source"]
 
 
 def change(chrom, pos, ref, alt):
@@ -36,29 +37,29 @@ def test_against_brute_force(spark):
         alt = rng.choice([seq(), seq() + ",G", " " + seq(), "*", "<NON_REF>", None, "", ",A"]) if i % 3 else seq()
         data.append((i, rng.choice(["train", "train", "valid", "test", "other", None]), rng.choice(["s", None]), rng.choice(["1", "chr1", " CHR 1", "2", None]), rng.choice([None, *range(90, 100)]), rng.choice([seq(), None, ""]), alt, "t", "x"))
     data += [(5000 + i, "train" if i % 2 else "test", "hot", "9", 7, "A", "C", "t", "x") for i in range(60)]
-    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA))
+    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA), ALSO)
     assert sorted(map(tuple, overlap.overlapping_pairs(rows).collect())) == pairs(data)
 
 
 def test_lots_of_a_hot_text(spark, monkeypatch):
     monkeypatch.setattr(overlap, "PAIR_ROWS", 7)
     data = [(i, "train" if i % 2 else "valid", "s", "1", 5 + i % 3, "A", "C", "", "") for i in range(100)]
-    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA))
+    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA), ALSO)
     assert sorted(map(tuple, overlap.overlapping_pairs(rows).collect())) == pairs(data)
 
 
 def test_report_and_empty(spark):
     data = [(1, "train", "s", "1", 5, "A", "C", "", ""), (2, "test", "s", "1", 6, "A", "C", "", ""), (3, "valid", None, "1", 5, "A", "C", "", ""), (4, "test", "s", "1", 9, "A", "C", "", "")]
-    got = {(r.split_name, r.source): (r.n_rows, r.n_same, r.n_near_only) for r in overlap.overlap_report(overlap.split_rows(spark.createDataFrame(data, SCHEMA))).collect()}
+    got = {(r.split_name, r.source): (r.n_rows, r.n_same, r.n_near_only) for r in overlap.overlap_report(overlap.split_rows(spark.createDataFrame(data, SCHEMA), ALSO)).collect()}
     assert got == {("train", "s"): (1, 1, 0), ("test", "s"): (2, 0, 1), ("valid", None): (1, 1, 0)}
-    none = overlap.split_rows(spark.createDataFrame([], SCHEMA))
+    none = overlap.split_rows(spark.createDataFrame([], SCHEMA), ALSO)
     assert overlap.overlapping_pairs(none).collect() == [] and overlap.overlap_report(none).collect() == []
 
 
 def test_long_alleles(spark):
     long = "A" * 30_000
     data = [(1, "train", "s", "1", 5, long + "G", long + "T", "", ""), (2, "test", "s", "1", 30_005, "G", "T", "", "")]
-    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA))
+    rows = overlap.split_rows(spark.createDataFrame(data, SCHEMA), ALSO)
     assert sorted(map(tuple, overlap.overlapping_pairs(rows).collect())) == [(1, 2)]
 
 

@@ -18,6 +18,9 @@ PAIR_ROWS = 1000
 #: found piece by piece, as the suffixes that begin within it share its rest.
 DEPTH = 8
 
+#: The order of the array; the first token alone settles most comparisons.
+ORDER = ["key", "suffix", "text_id", "start", "is_train"]
+
 #: Letters of an alternate that stand in a text's id as they are; a longer one stands there by its digest.
 PLAIN_LETTERS = 32
 
@@ -60,11 +63,11 @@ def change_rows(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def suffix_array(texts: DataFrame, min_tokens: int, depth: int = DEPTH) -> DataFrame:
-    """(part, suffix, text_id, start, is_train, before): all suffixes of the texts, laid out in order.
+    """(part, key, suffix, text_id, start, is_train, before): all suffixes of the texts, laid out in order.
 
     `texts` is (text_id, is_train, tokens), each distinct text once a side. A
-    suffix is the hashes of up to `depth` tokens from its start on, `before` the
-    hash of the token in front of it. Suffixes are laid into ranges of (suffix,
+    suffix is the hashes of up to `depth` tokens from its start on, `key` the
+    first of them, `before` the hash of the token in front of it. Suffixes are laid into ranges of (suffix,
     text_id, start, side): partitions follow each other in order, and a beginning that
     many texts share spreads over as many partitions as it needs. A suffix of
     fewer than min_tokens tokens is left out.
@@ -73,7 +76,7 @@ def suffix_array(texts: DataFrame, min_tokens: int, depth: int = DEPTH) -> DataF
     hashed = texts.filter(F.size("tokens") >= min_tokens).select("text_id", "is_train", F.transform("tokens", lambda t: F.xxhash64(t)).alias("t"))
     starts = hashed.select("text_id", "is_train", "t", F.explode(F.sequence(F.lit(1), F.size("t") - (min_tokens - 1))).alias("start"))
     suffixes = starts.select(F.slice("t", F.col("start"), F.lit(depth)).alias("suffix"), "text_id", "start", "is_train", F.get("t", F.col("start") - 2).alias("before"))
-    return stored(suffixes.repartitionByRange("suffix", "text_id", "start", "is_train").withColumn("part", F.spark_partition_id()))
+    return stored(suffixes.select(F.get("suffix", F.lit(0)).alias("key"), "*").repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()))
 
 
 def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +149,9 @@ def cross_spans(texts: DataFrame, min_tokens: int, depth: int = DEPTH) -> DataFr
         return out
 
     parts = sorted({r.part for r in ends})
-    schema = "text_id string, is_train boolean, start int, lcp int, suffix array<long>, before long"
-    order = ["suffix", "text_id", "start", "is_train"]
-    down = array.sortWithinPartitions(*order).mapInArrow(_walk(before(parts, "high"), min_tokens), schema)
-    up = array.sortWithinPartitions(*map(F.desc, order)).mapInArrow(_walk(before(parts[::-1], "low"), min_tokens), schema)
+    schema = f"text_id {texts.schema['text_id'].dataType.simpleString()}, is_train boolean, start int, lcp int, suffix array<long>, before long"
+    down = array.sortWithinPartitions(*ORDER).mapInArrow(_walk(before(parts, "high"), min_tokens), schema)
+    up = array.sortWithinPartitions(*map(F.desc, ORDER)).mapInArrow(_walk(before(parts[::-1], "low"), min_tokens), schema)
     both = down.unionByName(up).groupBy("text_id", "is_train", "start").agg(F.max("lcp").alias("lcp"), F.first("suffix").alias("suffix"), F.first("before").alias("before"))
     return stored(both.select("text_id", "is_train", "start", "lcp", F.slice("suffix", 1, min_tokens).alias("head"), "before"))
 
@@ -177,38 +179,47 @@ def linked_texts(spans: DataFrame) -> DataFrame:
     return side(True, "train").alias("t").join(side(False, "eval").alias("e"), "head").filter(first).select("train_text", "eval_text")
 
 
-def change_texts(changes: DataFrame, keep: list[str]) -> DataFrame:
-    """keep..., text_id and tokens of each change (chrom, alt, pos).
+def text_of_change() -> Column:
+    """What names a change: position, chromosome and alternate, parted by tabs, which none of them holds."""
+    alt = F.when(F.length("alt") <= PLAIN_LETTERS, F.col("alt")).otherwise(F.concat(F.lit("#"), F.md5("alt")))
+    return F.concat_ws("\t", F.col("pos").cast("string"), "chrom", alt)
+
+
+def tokens_of_change(text: Column) -> Column:
+    """The tokens of a change's text: the position before it, its own and the one after, on its chromosome and alternate.
 
-    A change's text is the tokens of the position before it, its own and the
-    one after: two texts share all three tokens when the changes are the same,
-    two tokens in a row when they are one position apart, and fewer otherwise.
+    Two texts share all three tokens when the changes are the same, two tokens
+    in a row when they are one position apart, and fewer otherwise.
     """
-    alt = F.when(F.length("alt") <= PLAIN_LETTERS, F.col("alt")).otherwise(F.concat(F.lit("#"), F.md5("alt")))
-    tokens = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.xxhash64("chrom", "alt", F.col("pos") + d))
-    return changes.select(*keep, F.concat_ws(":", "chrom", F.col("pos").cast("string"), alt).alias("text_id"), tokens.alias("tokens"))
+    pos = F.substring_index(text, "\t", 1).cast("long")
+    rest = F.substring(text, F.instr(text, "\t"), F.length(text))
+    return F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.xxhash64(rest, pos + d))
 
 
 #: Tokens that texts of changes one position apart share, and texts of the same change.
 NEAR, SAME = 2, 3
 
 
-def split_rows(df: DataFrame) -> DataFrame:
-    """(row_id, split_name, source, is_train, text_id, tokens) of the usable rows, kept in the shared folder."""
+def split_rows(df: DataFrame, also: list[str]) -> DataFrame:
+    """(row_id, is_train, text, also...) of the usable rows, kept in the shared folder."""
     known = change_rows(df.filter(F.col("split_name").isin("train", "valid", "test")), ["row_id", "split_name", "source"])
-    return stored(change_texts(known.withColumn("is_train", F.col("split_name") == "train"), ["row_id", "split_name", "source", "is_train"]))
+    return stored(known.select("row_id", (F.col("split_name") == "train").alias("is_train"), text_of_change().alias("text"), *also))
 
 
 def change_classes(rows: DataFrame) -> DataFrame:
-    """(text_id, is_train, tokens, n): the distinct texts of each side, with their rows; counted before the shuffle."""
-    return stored(rows.groupBy("text_id", "is_train").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
+    """(text_id, is_train, text, n): the distinct texts of each side by number, with their rows; counted before the shuffle."""
+    return stored(rows.groupBy("text", "is_train").agg(F.count("*").alias("n")).withColumn("text_id", F.monotonically_increasing_id()))
+
+
+def class_spans(classes: DataFrame) -> DataFrame:
+    return cross_spans(classes.select("text_id", "is_train", tokens_of_change(F.col("text")).alias("tokens")), NEAR, SAME)
 
 
 def linked_classes(classes: DataFrame) -> DataFrame:
     """(train_text, eval_text, n_train, n_eval): the texts of both sides that overlap, the same change or a near one."""
-    links = linked_texts(cross_spans(classes.select("text_id", "is_train", "tokens"), NEAR))
-    size = lambda is_train, side: classes.filter(F.col("is_train") == is_train).select(F.col("text_id").alias(f"{side}_text"), F.col("n").alias(f"n_{side}"))
-    return links.join(size(True, "train"), "train_text").join(size(False, "eval"), "eval_text")
+    links = linked_texts(class_spans(classes)).withColumnsRenamed({"train_text": "t", "eval_text": "e"})
+    of = lambda is_train, key, side: classes.filter(F.col("is_train") == is_train).select(F.col("text_id").alias(key), F.col("text").alias(f"{side}_text"), F.col("n").alias(f"n_{side}"))
+    return links.join(of(True, "t", "train"), "t").join(of(False, "e", "eval"), "e").drop("t", "e")
 
 
 def overlapping_pairs(rows: DataFrame) -> DataFrame:
@@ -225,7 +236,7 @@ def overlapping_pairs(rows: DataFrame) -> DataFrame:
     lots = {s: F.greatest(F.lit(1), F.ceil(F.col(f"n_{s}") / PAIR_ROWS)).cast("int") for s in ("train", "eval")}
 
     def dealt(side: str, other: str) -> DataFrame:
-        own = rows.filter("is_train" if side == "train" else "NOT is_train").select(F.col("row_id").alias(f"{side}_id"), F.col("text_id").alias(f"{side}_text"))
+        own = rows.filter("is_train" if side == "train" else "NOT is_train").select(F.col("row_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
         lot = F.pmod(F.xxhash64(f"{side}_id"), lots[side].cast("long")).cast("int")
         met = own.join(links, f"{side}_text")
         return met.select("train_text", "eval_text", f"{side}_id", lot.alias(f"{side}_lot"), F.explode(F.sequence(F.lit(0), lots[other] - 1)).alias(f"{other}_lot"))
@@ -239,8 +250,8 @@ def overlap_report(rows: DataFrame) -> DataFrame:
     A row overlaps by as much as the merged spans cover of its text.
     """
     classes = change_classes(rows)
-    covered = coverage(cross_spans(classes.select("text_id", "is_train", "tokens"), NEAR))
-    counted = rows.groupBy("split_name", "source", "is_train", "text_id").agg(F.count("*").alias("n"))
-    marked = counted.join(covered, ["text_id", "is_train"], "left")
+    covered = coverage(class_spans(classes)).join(classes, ["text_id", "is_train"]).select("text", "is_train", "covered")
+    counted = rows.groupBy("split_name", "source", "is_train", "text").agg(F.count("*").alias("n"))
+    marked = counted.join(covered, ["text", "is_train"], "left")
     of = lambda tokens: F.sum(F.when(F.col("covered") == tokens, F.col("n")).otherwise(0))
     return marked.groupBy("split_name", "source").agg(F.sum("n").alias("n_rows"), of(SAME).alias("n_same"), of(NEAR).alias("n_near_only"))

@@ -60,12 +60,12 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlap.overlapping_pairs(overlap.split_rows(table(spark, sf_dir, "split_rows")))
+    pairs = overlap.overlapping_pairs(overlap.split_rows(table(spark, sf_dir, "split_rows"), []))
     return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.overlap_report(overlap.split_rows(table(spark, sf_dir, "split_rows")))
+    return overlap.overlap_report(overlap.split_rows(table(spark, sf_dir, "split_rows"), ["split_name", "source"]))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
