@@ -105,7 +105,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = subjects.document_subjects(
-        table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas")
+        table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"), sections=["agenda_item", "source"]
     )
     return found.withColumnRenamed("doc", "doc_id")
 
