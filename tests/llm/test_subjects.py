@@ -71,11 +71,11 @@ def test_empty_tables(spark):
 
 
 def test_sentence_features():
-    of_doc, of_sentence, index = subjects.hashed_sentences(["One two three. 12 34. Four!", "", "five"], {})
+    of_doc, of_sentence, index = subjects.hashed_sentences(["One two three. 12 34. Four!", "", "five"])
     assert of_doc.tolist() == [0, 2, 2, 3] and of_sentence.tolist() == [0, 5, 6, 7] and len(index) == 7
-    again = subjects.hashed_sentences(["one two three."], {})[2]
+    again = subjects.hashed_sentences(["one two three."])[2]
     assert again.tolist() == index[:5].tolist() and (index >= 0).all() and (index < subjects.FEATURES).all()
-    assert subjects.hashed_sentences([], {})[2].tolist() == []
+    assert subjects.hashed_sentences([])[2].tolist() == []
 
 
 @pytest.mark.parametrize("steps", [60])
@@ -131,11 +131,11 @@ def test_every_language_is_fitted_on(spark):
 
 
 def test_a_sentence_may_deal_with_several_subjects(spark):
-    one = subjects.hashed_sentences(["jury ski."], {})[2]
+    one = subjects.hashed_sentences(["jury ski."])[2]
     model = {}
     for s, word in (("law", "jury"), ("sport", "ski"), ("farming", "cow")):
         w = np.zeros(subjects.FEATURES, np.float32)
-        w[subjects.hashed_sentences([word], {})[2][0]] = 5
+        w[subjects.hashed_sentences([word])[2][0]] = 5
         model[s] = (w, -1.0, 0.0)
     df = spark.createDataFrame([(1, "Jury ski. Cow. The rest."), (2, None)], "d long, t string")
     got = {r.doc: (r.n_sentences, r.counts) for r in subjects.count_sentences(df, "d", "t", model, ["farming", "law", "sport"]).collect()}

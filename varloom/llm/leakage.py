@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm.words import code_points, word_bounds, word_hashes
 from varloom.support import small, stored
 
 #: Successive words that make a leak, and edits (characters) that a near leak may hold.
 MIN_WORDS, BUDGET = 10, 1
 
 #: Words of items whose pieces go along to the tasks at a time; more items are taken in blocks, one pass over the corpus each.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 #: Words of an item that are handled as one; longer items are cut into stretches that overlap.
 STRETCH = 4096
@@ -143,6 +143,12 @@ def piece_size(min_words: int, budget: int) -> int:
     return max(1, -((2 * budget - min_words) // (budget + 1)))
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    """A hash of each word."""
+    codes, _ = code_points(words)
+    return word_hashes(codes, *word_bounds(codes, "word")).view(np.int64)
+
+
 class _Pieces:
     """The pieces of a block of item stretches, ready to be looked up by the hash of a run of words.
 
@@ -151,7 +157,7 @@ class _Pieces:
     """
 
     def __init__(self, rows: list, size: int, gap: int):
-        lists = [np.array([zlib.crc32(w.encode()) for w in r.words], np.int64) for r in rows]
+        lists = [hashed(list(r.words)) for r in rows]
         lengths = np.array([len(x) for x in lists], np.int64)
         self.stretch = np.array([r.stretch for r in rows], np.int64)
         self.first = gap + np.cumsum(np.concatenate([[0], lengths + gap]))[:-1].astype(np.int64)
@@ -202,24 +208,19 @@ def piece_hits(docs: DataFrame, pieces: _Pieces, size: int, min_words: int, budg
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: _Pieces = shared.value
-        known: dict[str, int] = {}
         for batch in batches:
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             for first in range(0, len(ids), LOT):
-                if len(known) > 500_000:
-                    known.clear()
-                split = [words_in(unnested(t)) for t in texts[first : first + LOT]]
-                hashes = [-2] * side
-                for w in split:
-                    for x in w:
-                        h = known.get(x)
-                        if h is None:
-                            h = known[x] = zlib.crc32(x.encode())
-                        hashes.append(h)
-                    hashes.extend([-2] * side)
-                doc = np.array(hashes, np.int64)
+                lot = [unnested(t).lower() for t in texts[first : first + LOT]]
+                codes, begins = code_points(lot)
+                starts, ends = word_bounds(codes, "word")
+                of = np.searchsorted(begins, starts, side="right") - 1  # the text of each word
+                place = np.arange(len(starts)) + side * (of + 1)
+                doc = np.full(len(starts) + side * (len(lot) + 1), -2, np.int64)
+                doc[place] = word_hashes(codes, starts, ends).view(np.int64)
+                word = np.full(len(doc), -1, np.int64)
+                word[place] = np.arange(len(starts))
                 runs = run_hashes(doc.astype(np.uint64), size).view(np.int64)
-                begins = side + np.cumsum([0, *[len(w) + side for w in split]])
                 low = np.searchsorted(wanted.hashes, runs, side="left")
                 seen = np.nonzero(wanted.hashes[np.minimum(low, max(0, len(wanted.hashes) - 1))] == runs)[0] if len(wanted.hashes) else np.zeros(0, np.int64)
                 high = np.searchsorted(wanted.hashes, runs[seen], side="right")
@@ -231,9 +232,11 @@ def piece_hits(docs: DataFrame, pieces: _Pieces, size: int, min_words: int, budg
                     at = np.repeat(seen[a:b], n)
                     hit = np.repeat(low[seen[a:b]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                     for k in _likely(wanted, doc, at, hit, size, min_words, budget):
-                        d = int(np.searchsorted(begins, at[k], side="right")) - 1
-                        w, i, row = split[d], int(at[k] - begins[d]), wanted.of[hit[k]]
-                        rows.append((ids[first + d], int(wanted.stretch[row]), int(wanted.place[hit[k]] - wanted.first[row]), w[max(0, i - side) : i + size + side]))
+                        w, row = int(word[at[k]]), wanted.of[hit[k]]
+                        d = int(of[w])
+                        near = range(max(w - side, int(np.searchsorted(of, d))), min(w + size + side, int(np.searchsorted(of, d, side="right"))))
+                        found = [lot[d][starts[i] - begins[d] : ends[i] - begins[d]] for i in near]
+                        rows.append((ids[first + d], int(wanted.stretch[row]), int(wanted.place[hit[k]] - wanted.first[row]), found))
                 columns = list(zip(*rows)) if rows else [[] for _ in HITS]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, HITS.types)], schema=HITS)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.leakage import unnested, without_brackets
+from varloom.llm.words import characters, code_points, word_bounds, word_hashes
 from varloom.support import small, stored
 
 #: Number of hashed features; the weights of one subject are an array of that size.
@@ -60,7 +59,8 @@ class Rules:
 # Fixed value: a short interjection set between dashes, as minutes print it.
 INTERJECTION = r"[–—] [^–—.!?]{1,40}[.!?\"”]* [–—](?=\s)"
 
-SENTENCE_END, WORD = re.compile(r"(?<=[.!?])\s"), re.compile(r"[^\W\d_]+")
+# The characters that end a sentence if white space follows.
+SENTENCE_ENDS = np.array([ord(c) for c in ".!?"], np.uint32)
 
 
 def plain(text: Column) -> Column:
@@ -68,34 +68,20 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(without_brackets(F.coalesce(text, F.lit(""))), INTERJECTION, " "), r"\s+", " "))
 
 
-def hashed_sentences(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(of_doc, of_sentence, index): the hashed words and word pairs of each sentence of plain texts.
 
     `of_doc` bounds the sentences of each text, `of_sentence` the features of
-    each sentence. `known` caches the hashes of words between calls. Digits do
-    not count; a sentence without a letter is none.
+    each sentence. Digits do not count; a sentence without a letter is none.
     """
-    hashes: list[int] = []
-    lengths: list[int] = []
-    per_doc: list[int] = []
-    if len(known) > 500_000:
-        known.clear()
-    for text in texts:
-        n = 0
-        for sentence in SENTENCE_END.split(unnested(text).lower()):
-            words = WORD.findall(sentence)
-            if words:
-                n += 1
-                lengths.append(len(words))
-                for x in words:
-                    h = known.get(x)
-                    if h is None:
-                        h = known[x] = zlib.crc32(x.encode())
-                    hashes.append(h)
-        per_doc.append(n)
-    of_doc = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)
-    of_word = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    single = np.array(hashes, dtype=np.uint64)
+    codes, begins = code_points([unnested(t).lower() for t in texts])
+    starts, ends = word_bounds(codes, "letter")
+    stops = np.nonzero(np.isin(codes[:-1], SENTENCE_ENDS) & characters("space")[codes[1:]])[0]
+    sentence = np.searchsorted(np.union1d(stops + 1, begins), starts, side="right")
+    first = np.nonzero(np.diff(np.concatenate([[-1], sentence])))[0]
+    of_word = np.concatenate([first, [len(starts)]]).astype(np.int64)
+    of_doc = np.concatenate([np.searchsorted(starts[first], begins), [len(first)]]).astype(np.int64)
+    single = word_hashes(codes, starts, ends)
     # a pair takes the place after its first word; a sentence's last word starts none
     both = np.empty(2 * len(single), np.uint64)
     both[0::2] = single
@@ -110,9 +96,8 @@ def featured(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(doc, feats): an array of hashed n-grams for each sentence of each whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
-            of_doc, of_sentence, index = hashed_sentences(batch.column("plain").to_pylist(), known)
+            of_doc, of_sentence, index = hashed_sentences(batch.column("plain").to_pylist())
             inner = pa.ListArray.from_arrays(pa.array(of_sentence, pa.int32()), pa.array(index, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(of_doc, pa.int32()), inner)], names=["doc", "feats"])
 
@@ -211,9 +196,8 @@ def count_sentences(corpus: DataFrame, row_id: str, text: str, model: dict[str,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, offset, threshold = shared.value
-        known: dict[str, int] = {}
         for batch in batches:
-            of_doc, of_sentence, index = hashed_sentences(batch.column("plain").to_pylist(), known)
+            of_doc, of_sentence, index = hashed_sentences(batch.column("plain").to_pylist())
             marks = np.zeros((of_doc[-1], w.shape[1]), np.int64)
             lot = 5_000
             for at in range(0, len(marks), lot):
