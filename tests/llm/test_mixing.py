@@ -32,6 +32,14 @@ def test_shares_and_caps(spark):
     assert {r.doc for r in other} != {r.doc for r in rows}
 
 
+def test_total_is_a_bound(spark):
+    docs = [(i, "a" if i % 3 else "b", 10 + i % 5) for i in range(900)]
+    rows, shares = mixed(spark, docs, [("a", 0.5, 1), ("b", 0.5, 3)], total_tokens=2000)
+    assert abs(sum(r.tokens * r.times for r in rows) - 2000) < 20 and abs(shares["a"].actual_share - 0.5) < 0.01
+    more, _ = mixed(spark, docs, [("a", 0.5, 1), ("b", 0.5, 3)], total_tokens=10**9)
+    assert sorted(map(tuple, more)) == sorted(map(tuple, mixed(spark, docs, [("a", 0.5, 1), ("b", 0.5, 3)])[0]))
+
+
 def test_hot_length_is_dealt_into_lots(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 50)
     docs = [(i, "a", 10) for i in range(2000)] + [(5000 + i, "b", 10) for i in range(300)]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.support import stored
+from varloom.support import small, stored
 
 #: Vocabulary file of a public tokenizer, as ranks.
 RANKS = os.environ.get("VARLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -98,17 +98,19 @@ def choose(budget: int, max_repeats: int, counts: dict[int, int], knapsack: int
     return full, {k: x for k, x in extra.items() if x}
 
 
-def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(lengths: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(source, tokens, docs, full, extra) for each source and token length.
 
     The mix is as large as the sources' caps allow with every share met: the
-    least max_repeats * size / share of the sources that have any text. Each
+    least max_repeats * size / share of the sources that have any text, or
+    total_tokens where that is less. Each
     source's table of lengths, one row per distinct length, is fitted in a task
     of its own; documents never leave their partitions for it.
     """
     sizes = lengths.groupBy("source").agg(F.sum(F.col("tokens") * F.col("docs")).alias("size"))
     wanted = targets.filter("target_share > 0 AND max_repeats > 0").join(sizes, "source").filter("size > 0")
     most = wanted.agg(F.min(F.col("size") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
+    most = most if total_tokens is None else min(most, float(total_tokens))
     budgets = wanted.select("source", "max_repeats", F.round(F.lit(most) * F.col("target_share")).cast("long").alias("budget"))
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,11 +118,11 @@ def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
         full, extra = choose(int(pdf.budget.iloc[0]), int(pdf.max_repeats.iloc[0]), counts)
         return pd.DataFrame({"source": pdf.source, "tokens": pdf.tokens, "docs": pdf.docs, "full": full, "extra": [extra.get(int(t), 0) for t in pdf.tokens]})
 
-    joined = lengths.join(F.broadcast(budgets), "source")
+    joined = lengths.join(small(budgets), "source")
     return joined.groupBy("source").applyInPandas(fitted, "source string, tokens long, docs long, full long, extra long").filter("full > 0 OR extra > 0")
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None) -> DataFrame:
     """(doc, source, tokens, times) of every document in the mix; `docs` is (doc, source, tokens).
 
     Which documents of a length are taken once more is settled by a seeded
@@ -134,9 +136,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """
     docs = stored(docs)
     lengths = docs.groupBy("source", "tokens").agg(F.count("*").alias("docs"))
-    chosen = stored(plan(lengths, targets))
+    chosen = small(plan(lengths, targets, total_tokens))
     lots = F.greatest(F.lit(1), F.ceil(F.col("docs") / RANKED)).cast("long")
-    hashed = docs.join(F.broadcast(chosen), ["source", "tokens"]) if chosen.count() <= 100_000 else docs.join(chosen, ["source", "tokens"])
+    hashed = docs.join(chosen, ["source", "tokens"])
     dealt = hashed.withColumn("h", F.xxhash64(F.lit(seed), "doc")).withColumn("lot", F.pmod("h", lots))
     by_lot = dealt.filter("extra > 0").groupBy("source", "tokens", "lot").agg(F.count("*").alias("n"), F.first("extra").alias("extra"))
     w = Window.partitionBy("source", "tokens").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,6 +103,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source that has documents: whether no document is taken too often and the share comes near its target."""
+    got = p7_shares(spark, sf_dir).filter("docs > 0")
+    near = F.abs(F.col("actual_share") - F.col("target_share")) < 0.001
+    return got.select("source", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), near.alias("near_share"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = subjects.document_subjects(
         table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"), sections=["agenda_item", "source"]
@@ -131,6 +138,7 @@ QUERIES = {
     "p6_exact_items": p6_exact_items,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }

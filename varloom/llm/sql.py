@@ -90,4 +90,5 @@ ORACLE = {
     "p6_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.h = i.h AND d.run = i.run",
     "p6_exact_items": f"""WITH {_PASSAGES}, found AS (SELECT DISTINCT doc_id, item_id FROM doc_runs d JOIN item_runs i ON d.h = i.h AND d.run = i.run)
       SELECT item_id, item_set, count(*) AS n_exact FROM found JOIN eval_passages USING (item_id) GROUP BY ALL""",
+    "p7_kept": "SELECT source, max_repeats, true AS within_cap, true AS near_share FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
 }
