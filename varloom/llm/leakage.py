@@ -28,7 +28,7 @@ LOT, HITS_AT_ONCE = 500, 500_000
 
 WORD, BRACKET = re.compile(r"[^\W_]+"), re.compile(r"[()\[\]]")
 
-HITS = pa.schema([("doc", pa.int64()), ("stretch", pa.int64()), ("at", pa.int32()), ("found", pa.list_(pa.string()))])
+HITS = pa.schema([("doc", pa.int64()), ("stretch", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("runs", pa.list_(pa.int32())), ("found", pa.list_(pa.string()))])
 
 
 def words_in(text: str | None) -> list[str]:
@@ -95,20 +95,22 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
-def _distance(size: int, min_words: int, budget: int):
-    """The least distance from the found words of any run of min_words item words that holds the piece at a place."""
+def _distance(min_words: int, budget: int):
+    """The least distance of the likely runs of item words round a piece from the document's words where they should stand."""
 
-    def least(words: list[str], at: int, found: list[str]) -> int:
-        text, best = f" {' '.join(found)} ", 1 << 30
-        for start in range(min(at, len(words) - min_words), max(-1, at + size - min_words - 1), -1):
-            best = min(best, edit_distance(f" {' '.join(words[start : start + min_words])} ", text))
+    def least(words: list[str], at: int, lead: int, runs: list[int], found: list[str]) -> int:
+        best = 1 << 30
+        for shift in runs:
+            first = max(0, lead + shift - budget)
+            text = " ".join(found[first : lead + shift + min_words + budget])
+            best = min(best, edit_distance(f" {' '.join(words[at + shift : at + shift + min_words])} ", f" {text} "))
             if best == 0:
                 break
         return best
 
     @F.pandas_udf("int")
-    def distance(words: pd.Series, at: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([least(list(w), int(a), list(f)) for w, a, f in zip(words, at, found)], dtype="int32")
+    def distance(words: pd.Series, at: pd.Series, lead: pd.Series, runs: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([least(list(w), int(a), int(b), [int(x) for x in r], list(f)) for w, a, b, r, f in zip(words, at, lead, runs, found)], dtype="int32")
 
     return distance
 
@@ -172,8 +174,11 @@ class _Pieces:
         self.hashes, self.place, self.of = hashes[order], place[order], of[order]
 
 
-def _likely(pieces: _Pieces, doc: np.ndarray, at: np.ndarray, hit: np.ndarray, size: int, min_words: int, budget: int) -> np.ndarray:
-    """Which hits (doc place, piece) can belong to a run of min_words item words within the budget.
+def _likely(pieces: _Pieces, doc: np.ndarray, at: np.ndarray, hit: np.ndarray, size: int, min_words: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, runs): the hits (doc place, piece) that can belong to a run of min_words item words within the budget, and which runs those are.
+
+    `runs` says for each hit and each of the runs that hold the piece, the
+    first one beginning min_words - size words before it, whether it is likely.
 
     Only the first piece of a stretch of equal words is kept, as the run may
     be moved back to it. An edit changes two words at most and shifts the words
@@ -188,21 +193,24 @@ def _likely(pieces: _Pieces, doc: np.ndarray, at: np.ndarray, hit: np.ndarray, s
         word = pieces.words[place + j]
         same[:, j + side] = np.any([doc[at + j + s] == word for s in range(-budget, budget + 1)], axis=0)
     total = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-    good = np.zeros(len(at), bool)
+    good = np.zeros((len(at), side + 1), bool)
     for start in range(side + 1):
         low = place + start - side
         inside = (low >= pieces.first[row]) & (low + min_words <= pieces.end[row])
-        good |= inside & (total[:, start + min_words] - total[:, start] >= min_words - 2 * budget)
-    return index[good]
+        good[:, start] = inside & (total[:, start + min_words] - total[:, start] >= min_words - 2 * budget)
+    some = good.any(axis=1)
+    return index[some], good[some]
 
 
 def piece_hits(docs: DataFrame, pieces: _Pieces, size: int, min_words: int, budget: int) -> DataFrame:
-    """(doc, stretch, at, found) wherever a piece stands in a document amid enough words of its item.
+    """(doc, stretch, at, lead, runs, found) wherever a piece stands in a document amid enough words of its item.
 
     `docs` is (doc, text). The words of each text are hashed, neighbouring
     hashes are combined over whole batches at once, and runs whose hash is a
     piece's are hits; `at` is the piece's first word in its stretch, `found` the
-    document's words round it. What is no likely leak never leaves the task.
+    document's words round it, the piece behind `lead` of them, and `runs` where
+    the likely runs begin, counted from the piece. What is no likely leak never
+    leaves the task.
     """
     shared, side = docs.sparkSession.sparkContext.broadcast(pieces), min_words - size + budget
 
@@ -231,16 +239,17 @@ def piece_hits(docs: DataFrame, pieces: _Pieces, size: int, min_words: int, budg
                     n = counts[a:b]
                     at = np.repeat(seen[a:b], n)
                     hit = np.repeat(low[seen[a:b]], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                    for k in _likely(wanted, doc, at, hit, size, min_words, budget):
+                    for k, good in zip(*_likely(wanted, doc, at, hit, size, min_words, budget)):
                         w, row = int(word[at[k]]), wanted.of[hit[k]]
                         d = int(of[w])
                         near = range(max(w - side, int(np.searchsorted(of, d))), min(w + size + side, int(np.searchsorted(of, d, side="right"))))
                         found = [lot[d][starts[i] - begins[d] : ends[i] - begins[d]] for i in near]
-                        rows.append((ids[first + d], int(wanted.stretch[row]), int(wanted.place[hit[k]] - wanted.first[row]), found))
+                        runs_of = (np.nonzero(good)[0][::-1] - (min_words - size)).tolist()
+                        rows.append((ids[first + d], int(wanted.stretch[row]), int(wanted.place[hit[k]] - wanted.first[row]), w - near.start, runs_of, found))
                 columns = list(zip(*rows)) if rows else [[] for _ in HITS]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, HITS.types)], schema=HITS)
 
-    return docs.mapInArrow(find, "doc long, stretch long, at int, found array<string>")
+    return docs.mapInArrow(find, "doc long, stretch long, at int, lead int, runs array<int>, found array<string>")
 
 
 def leaked_passages(
@@ -277,6 +286,6 @@ def leaked_passages(
         rows = stretches.filter(F.pmod("stretch", F.lit(blocks)) == block).orderBy("stretch").collect()
         hits = piece_hits(docs, _Pieces(rows, size, min_words + budget), size, min_words, budget)
         found = hits if found is None else found.unionByName(hits)
-    near = _distance(size, min_words, budget)("words", "at", "found")
+    near = _distance(min_words, budget)("words", "at", "lead", "runs", "found")
     checked = found.join(small(stretches, keep=False), "stretch").select("doc", "item", near.alias("distance")).filter(F.col("distance") <= budget)
     return checked.groupBy("doc", "item").agg(F.min("distance").alias("distance"))
