@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.support import hadoop_path, remove, shared_dir, stored
@@ -140,9 +140,10 @@ class Ledger:
             buckets *= 2
         counted = batch.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
         merged = reduce(_added, map(self._table, near), counted.repartition(buckets, "h1", "h2"))
-        seen, name = Observation(), uuid.uuid4().hex
-        merged.observe(seen, F.count("*").alias("keys")).write.bucketBy(buckets, "h1", "h2").option("path", f"{self.path}/runs/{name}").saveAsTable(f"ledger_{name}")
-        line = {"number": len(self.labels), "label": label, "run": name, "buckets": buckets, "keys": seen.get["keys"], "rows": rows, "replaces": [r.name for r in near], "staged": staged}
+        name = uuid.uuid4().hex
+        merged.write.bucketBy(buckets, "h1", "h2").option("path", f"{self.path}/runs/{name}").saveAsTable(f"ledger_{name}")
+        keys = self.spark.table(f"ledger_{name}").count()  # from the files' footers
+        line = {"number": len(self.labels), "label": label, "run": name, "buckets": buckets, "keys": keys, "rows": rows, "replaces": [r.name for r in near], "staged": staged}
         self._write(line)
         self._count(line)
         for run in near:
