@@ -12,6 +12,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
         .getOrCreate()
     )

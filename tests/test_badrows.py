@@ -1,5 +1,6 @@
 import random
 
+from varloom.operators import badrows
 from varloom.operators.badrows import parse_lines, rejected_rows, valid_rows
 
 GOOD = ["1", "100", ".", "A", "C", "30", "PASS", "AC=1", "GT", "0|1"]
@@ -90,3 +91,13 @@ def test_long_lines_repeats_and_clashing_names(spark):
 def test_empty_table(spark):
     parsed = parse_lines(spark.createDataFrame([], "n long, line string"), "line", ["n"])
     assert valid_rows(parsed).collect() == [] and rejected_rows(parsed, ["n"]).collect() == []
+
+
+def test_both_sides_from_one_pass(spark, tmp_path):
+    ok, bad = "1\t5\t.\tA\tC\t9\tPASS\tx\tGT\t0|1", "1\t5"
+    df = spark.createDataFrame([(1, ok), (2, bad), (3, "#x")], "line_id long, line string")
+    for _ in range(2):
+        valid, rejected = badrows.loaded_once(badrows.parse_lines(df, "line", ["line_id"]), str(tmp_path / "p"))
+        assert [(r.line_id, r.pos) for r in valid.collect()] == [(1, 5)] and [(r.line_id, r.errors) for r in rejected.collect()] == [(2, ["columns"])]
+    none = badrows.loaded_once(badrows.parse_lines(df.limit(0), "line", ["line_id"]), str(tmp_path / "e"))
+    assert [d.count() for d in none] == [0, 0]

@@ -35,6 +35,39 @@ def test_labels_and_texts(spark):
     assert [tuple(r) for r in got] == [("likely pathogenic", "1"), ("potentially pathogenic", "2.5"), ("likely benign", "3"), (None, "4")]
 
 
+def test_scores_are_printed_by_their_binary_value(spark):
+    values = [0.0745, 0.0065, 0.0385, 0.0375, 0.8126, 1.0, 0.0, -0.5, None, float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in values], "s double").select(ranking.score_text(F.col("s"))).collect()]
+    assert got[:-1] == [None if x is None else "%.3f" % x for x in values[:-1]] and got[-1] is None
+
+
+def test_leave_one_out_curves_and_random_area(spark):
+    ranked = spark.createDataFrame([(m, rep, rank) for rep, ranks in ((1, [1.0, 2.5, 9.0]), (2, [3.0, 1.5, None])) for m, rank in enumerate(ranks)], "major int, rep int, rank double")
+    got = [tuple(r) for r in ranking.recall_leave_one_out(ranked, "major", "rep", "rank").orderBy("k").collect()]
+    assert got == [(1, 1, 0.5), (2, 2, 1.0), (3, 4, 2.0)]
+    each = [tuple(r) for r in ranking.recall_by_replicate(ranked, "major", "rep", "rank", [1, 2]).orderBy("k").collect()]
+    assert each == [(1, 1, 0), (2, 1, 1), (3, 2, 2)]
+    curve = spark.createDataFrame([("a", 0.0, 0.0), ("a", 10.0, 5.0), ("a", 30.0, 10.0)], "m string, x double, y double")
+    assert ranking.area(curve, "m", "x", "y", 25.0).first().area == 25 + 15 * (5 + 8.75) / 2
+    assert spark.range(1).select(ranking.random_area(F.lit(10), F.lit(100), 25.0)).first()[0] == 10 / 100 * 25 * 25 / 2
+
+
+def test_ranks_over_many_ranges(spark):
+    """Ranges begin and end inside groups, and their totals still add up."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(4)
+        data = [(i, rng.choice("aaab"), float(rng.randint(0, 300))) for i in range(3000)]
+        df = spark.createDataFrame(data, "id long, g string, s double")
+        got = {r.id: r["rank"] for r in ranking.average_rank(df, "s", ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in "ab":
+        scores = sorted((s for _, h, s in data if h == g), reverse=True)
+        first = {s: scores.index(s) for s in scores}
+        assert all(got[i] == first[s] + (scores.count(s) + 1) / 2 for i, h, s in data if h == g)
+
+
 def test_curves(spark):
     ranked = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("b", 9.0), ("b", None)], "rep string, rank double")
     hits = {(r.rep, r.k): r.hits for r in ranking.hits_at_cutoffs(ranked, "rep", "rank", 4).collect()}
@@ -120,6 +153,14 @@ def test_mutation_string_and_parts(spark):
     assert p[1]["ref"] is None and p[2]["ref"] is None and p[3]["head"] == ""
 
 
+def test_cpg_reads_plain_heads_only(spark):
+    from varloom.functions.registry import with_features
+    from varloom.plans import sequence_queries  # noqa: F401
+
+    df = parts(spark, "AC[G/T]A", "NAC[G/T]A", "aC[G/T]A", "A[C/T]GN")
+    assert [r.is_cpg for r in with_features(df, ["m"], ["cpg"]).collect()] == [1, None, None, 1]
+
+
 def test_motifs(spark):
     df = parts(spark, "ACGT[A/C]CGTACG", "[A/C]")
     m = {n: F.col(n) for n in ("head", "ref", "alt", "tail", "before", "after")}
@@ -223,6 +264,32 @@ def test_grouped_splits(spark):
     assert len(subsets) == 6 and {r["count"] for r in subsets} == {100}
 
 
+def test_stratified_splits_have_exact_shares(spark):
+    df = spark.createDataFrame([(i, int(i % 4 == 0), None if i % 9 == 0 else f"g{i % 50}") for i in range(1003)], "id long, y int, g string")
+    data = {r.id: r for r in df.collect()}
+    for it, role_of in {it: {r.row_id: r.role for r in splits.stratified_splits(df, "id", "y", "g", 2, 0.3).filter(F.col("iteration") == it).collect()} for it in (1, 2)}.items():
+        for y in (0, 1):
+            assert sum(role == "test" and data[i].y == y for i, role in role_of.items()) == math.floor(0.3 * sum(r.y == y for r in data.values()))
+        tested = {data[i].g for i, role in role_of.items() if role == "test" and data[i].y == 1} - {None}
+        assert not tested & {data[i].g for i, role in role_of.items() if role == "train" and data[i].y == 1} and it
+    assert splits.stratified_splits(df.limit(0), "id", "y", "g", 2).collect() == []
+
+
+def test_one_left_out(spark):
+    df = spark.createDataFrame([(i, int(i < 4)) for i in range(40)], "id long, y int")
+    compact = splits.leave_one_out(df, "id", "y", 2)
+    got = {r.row_id: r.role for r in splits.left_out(compact, 2, 1).collect()}
+    assert len(got) == 40 and got[2] == "test" and [got[i] for i in (0, 1, 3)] == ["train"] * 3
+    assert {i: r for i, r in got.items() if i > 3} == {i: r.role for i, r in ((r.row_id, r) for r in compact.filter("replicate = 1 AND major IS NULL").collect())}
+
+
+def test_places_of_rows(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 500)
+    got = {r.id: r.position for r in splits.with_position(spark.createDataFrame([(i,) for i in ids], "id long").repartition(7), ["id"]).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(ids))}
+
+
 def test_cohorts(spark):
     df = spark.createDataFrame([("v", "b"), ("v", "a"), ("v", "b"), ("w", "c"), ("w", None)], "k string, c string")
     assert sorted(map(tuple, cohort.cohort_counts(df, ["k"], "c").collect())) == [("v", 3, "2:b,1:a"), ("w", 1, "1:c")]

@@ -41,6 +41,9 @@ def test_genome_file(spark, tmp_path):
     wanted = spark.createDataFrame([(1, "two", -3, 4), (2, "two", 5, 99), (3, "no", 0, 2), (4, "one", 65_530, 65_545), (5, "two", 4, 4)], "region_id long, name string, start long, end long")
     found = {r.region_id: r.seq for r in genome.regions(chunks, wanted).collect()}
     assert found == {1: "GATT", 2: "CA", 4: seqs["one"][65_530:65_545]}
+    long = genome.regions(chunks, spark.createDataFrame([(6, "one", 0, 130), (7, "one", 0, 120)], "region_id long, name string, start long, end long"))
+    s = seqs["one"]
+    assert {r.region_id: r.record for r in genome.fasta(long).collect()} == {6: f">one:0-130\n{s[:60]}\n{s[60:120]}\n{s[120:130]}", 7: f">one:0-120\n{s[:60]}\n{s[60:120]}"}
 
 
 def test_text_tables(spark, tmp_path):
@@ -71,3 +74,61 @@ def test_writers(spark, tmp_path):
     assert (tmp_path / "tt" / "role=test").exists()
     assert tables.run_record(spark, "rank", {"b": 1, "a": 2}).first().arguments == '{"a": 2, "b": 1}'
     assert df.select(tables.svm_line(F.col("a"), [F.col("a"), F.lit(None)])).first()[0] == "1 qid:1 1:1 2:0"
+
+
+def test_what_a_broken_run_left_is_written_over(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+    for n, write in enumerate((tables.write_table, tables.stage, lambda d, p: tables.train_test(d, p, ["b"]))):
+        path = tmp_path / str(n)
+        write(df.limit(1), str(path))
+        (path / "_SUCCESS").unlink()
+        write(df, str(path))
+        write(df.limit(0), str(path))
+        assert (path / "_SUCCESS").exists()
+    assert spark.read.parquet(str(tmp_path / "1")).count() == spark.read.parquet(str(tmp_path / "2")).count() == 2
+
+
+def test_models_are_saved_once_and_whole(spark, tmp_path):
+    from varloom.operators import models
+
+    df = spark.createDataFrame([(float(i % 2), i % 2) for i in range(40)], "a double, y int")
+    fitted = models.linear_svm(["a"], "y", steps=10).fit(df)
+    for _ in range(2):
+        tables.save_model(fitted, str(tmp_path / "m"))
+    assert [p.name for p in tmp_path.iterdir()] == ["m"]
+    assert models.scores(tables.load_model(str(tmp_path / "m")), df).count() == 40
+
+
+def test_conservation_table(spark, tmp_path):
+    (tmp_path / "c").write_text("#score chrom pos\n1.5\tchr1\t7\n-2 X 9\nbad X y\n\n")
+    assert sorted(map(tuple, tables.read_conservation(spark, str(tmp_path / "c")).collect())) == [("1", 7, 1.5), ("X", 9, -2.0)]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from varloom import support
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        support.shared_dir(Session(), "x")
+
+
+def test_broadcast_hint_goes_by_rows_and_bytes(spark):
+    from varloom.support import small
+
+    df = spark.range(10).select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(df)) and not hinted(small(df, rows=9)) and not hinted(small(df, size=500)) and small(df, rows=9).count() == 10

@@ -108,12 +108,14 @@ def with_parts(df: DataFrame, marked: str) -> tuple[DataFrame, dict[str, Column]
     """df with the parts of its mutations as columns, and those columns by name.
 
     Chunks and their number are columns first, so that they are made once a row.
+    raw_head is the head as it was written, in its own case and not cut short.
     """
     kept = [F.col(c) for c in df.columns]
     split = df.select(*kept, chunks_of(F.col(marked)).alias("__chunks"))
     found = split.select(*kept, "__chunks", mutated_chunk(F.col("__chunks")).alias("__index"))
     parts = mutation_parts(F.col("__chunks"), F.col("__index"))
-    return found.select(*kept, *[c.alias(n) for n, c in parts.items()]), {n: F.col(n) for n in parts}
+    raw = F.substring_index(F.get(F.split(F.col(marked), r"\|", -1), F.col("__index")), "[", 1)
+    return found.select(*kept, *[c.alias(n) for n, c in parts.items()], raw.alias("raw_head")), {n: F.col(n) for n in parts}
 
 
 def exon_old(m: dict[str, Column]) -> Column:

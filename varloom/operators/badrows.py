@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from varloom.support import SPACE, kept_columns
+from varloom.support import SPACE, is_whole, kept_columns
 
 # The fields of a record in their order.
 FIELDS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
@@ -93,7 +94,7 @@ def parse_lines(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     shaped = split.select(*names, "__marked", "__fields", shape.alias("__shape"))
     whole = F.col("__shape").isNull()
     text = {f: F.when(whole, _text(F.get("__fields", F.lit(i)), F.col("__marked"))) for i, f in enumerate(FIELDS)}
-    rules = [F.when(~ok(text[f]), f) for f, ok in (("chrom", chrom_ok), ("pos", pos_ok), ("ref", ref_ok))]
+    rules = [F.when(whole & ~ok(text[f]), f) for f, ok in (("chrom", chrom_ok), ("pos", pos_ok), ("ref", ref_ok))]
     errors = F.array_compact(F.array(F.col("__shape"), *rules))
     judged = shaped.select(*names, "__marked", "__fields", "__shape", F.explode_outer(F.array(errors)).alias("errors"))
     return judged.select(*names, *[text[f].alias(f) for f in FIELDS], "errors")
@@ -120,3 +121,17 @@ def valid_rows(parsed: DataFrame) -> DataFrame:
 def rejected_rows(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """keep... and `reason`, the first error, of every line that is no valid record."""
     return parsed.filter(F.size("errors") > 0).select(*kept_columns(keep, {"reason"}), F.get("errors", F.lit(0)).alias("reason"))
+
+
+def loaded_once(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The valid records and the rejected lines (all kept columns, errors), both from one pass over the lines.
+
+    The parsed lines are written below `path`, which all executors share, by
+    whether they are valid; where they stand whole already they are only read.
+    """
+    spark = parsed.sparkSession
+    if not is_whole(spark, path):
+        parsed.withColumn("__valid", F.size("errors") == 0).write.mode("overwrite").partitionBy("__valid").parquet(path)
+    written = spark.read.schema(StructType([*parsed.schema.fields, StructField("__valid", BooleanType())])).parquet(path)
+    valid, others = (written.filter(F.col("__valid") == ok).drop("__valid") for ok in (True, False))
+    return valid_rows(valid), others.drop(*FIELDS)

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def scoring_above(df: DataFrame, score: str, least: float = 0.1) -> DataFrame:
+    """The rows whose score is more than `least`; unknown scores are not."""
+    return df.filter((F.col(score) > least) & ~F.isnan(F.col(score).cast("double")))
+
+
 def cohort_counts(df: DataFrame, keys: list[str], cohort: str) -> DataFrame:
     """keys, n_total and `n:cohort,...` with the largest count first, ties by cohort name.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def forest(features: list[str], label: str, trees: int = 2001, depth: int = 10, seed: int = 1) -> Pipeline:
     """A random forest; the score is the mean of the trees' class shares, not a count of votes."""
-    return _pipeline(features, RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed))
+    return _pipeline(features, RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, seed=seed))
 
 
 def neural_net(features: list[str], label: str, hidden: int = 5, steps: int = 500, seed: int = 1) -> Pipeline:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.support import stored
+
 
 def shuffled(seed: int, *ids: str) -> Column:
     """A key that orders rows at random but alike in every engine and run."""
@@ -34,6 +36,51 @@ def grouped_splits(df: DataFrame, row_id: str, label: str, group: str, iteration
     return both.select("iteration", "row_id", "role")
 
 
+def first_of_each(rows: DataFrame, by: list[str], key: str, row_id: str, share: float) -> DataFrame:
+    """rows with `first`: whether a row is among the first floor(share * n) of its group by (key, row_id); `key` is a hexadecimal text.
+
+    Rows are counted by group and the first four digits of the key. Groups of
+    those digits are taken whole as far as they fit and only the rows of the
+    one at the bound are ranked, so no task sorts a group.
+    """
+    digits = rows.withColumn("__lot", F.substring(key, 1, 4))
+    lots = digits.groupBy(*by, "__lot").agg(F.count("*").alias("__n"))
+    every, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    left = (F.floor(F.sum("__n").over(every) * share) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__left")
+    placed = digits.join(lots.select(*by, "__lot", "__n", left), [*by, "__lot"])
+    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "__lot").orderBy(key, row_id))
+    at_bound = placed.filter(cut).withColumn("first", rank <= F.col("__left"))
+    others = placed.filter(~cut).withColumn("first", F.col("__left") >= F.col("__n"))
+    return at_bound.unionByName(others).select(*rows.columns, "first")
+
+
+def stratified_splits(df: DataFrame, row_id: str, label: str, group: str, iterations: int, test_share: float = 0.5, seed: int = 1) -> DataFrame:
+    """(iteration, row_id, role): per iteration floor(test_share * n) rows of each class for testing, and training rows.
+
+    The rows of a class are drawn in the order of a seeded hash, ties by id.
+    Positives whose group has none in the test set train, a null group shares
+    nothing, and so do all negatives that are not drawn. Row ids are unique.
+    """
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"), F.col(group).alias("group")).filter("label IN (0, 1)")
+    repeated = rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("key", shuffled(seed, "iteration", "row_id"))
+    drawn = first_of_each(repeated, ["iteration", "label"], "key", "row_id", test_share)
+    tested = drawn.filter("first AND label = 1").select("iteration", "group").distinct()
+    spared = drawn.filter("label = 1 AND NOT first").join(tested, ["iteration", "group"], "left_anti")
+    train = drawn.filter("label = 0 AND NOT first").select("iteration", "row_id").unionByName(spared.select("iteration", "row_id"))
+    return train.withColumn("role", F.lit("train")).unionByName(drawn.filter("first").select("iteration", "row_id", F.lit("test").alias("role")))
+
+
+def left_out(compact: DataFrame, major: int, replicate: int) -> DataFrame:
+    """(row_id, role): the training and test set of one held-out positive, from the compact form of leave_one_out().
+
+    The positive is tested with the replicate's test negatives; all other
+    positives train with its training negatives.
+    """
+    role = F.when(F.col("major").isNull(), F.col("role")).when(F.col("major") == major, "test").otherwise("train")
+    return compact.filter(F.col("replicate") == replicate).select("row_id", role.alias("role"))
+
+
 def leave_one_out(df: DataFrame, row_id: str, label: str, replicates: int, seed: int = 1) -> DataFrame:
     """(major, replicate, row_id, role) in compact form: one held-out positive per (major, replicate).
 
@@ -52,8 +99,30 @@ def leave_one_out(df: DataFrame, row_id: str, label: str, replicates: int, seed:
     )
 
 
-def overlapping_subsets(df: DataFrame, row_id: str, n: int = 2, d: int = 4) -> DataFrame:
+def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """df with the place of each row in the given order, from 0; the order should be total.
+
+    Rows are laid into sorted ranges; a row's place is its place in its range
+    and the rows of the ranges before, of which there is one count a range.
+    """
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def subsets_by_position(df: DataFrame, row_id: str, n: int = 2, d: int = 4) -> DataFrame:
+    """(subset, row_id): every choice of n of d residue classes of the rows' places by id gives a subset."""
+    placed = with_position(df.select(F.col(row_id).alias("row_id")), ["row_id"])
+    return overlapping_subsets(placed, "position", n, d, ["row_id"]).select("subset", F.col("kept_row_id").alias("row_id"))
+
+
+def overlapping_subsets(df: DataFrame, row_id: str, n: int = 2, d: int = 4, keep: list[str] | None = None) -> DataFrame:
     """(subset, row_id): every choice of n of d residue classes of the ids gives a subset."""
     chosen = F.array(*[F.struct(F.lit("".join(map(str, c))).alias("subset"), F.array(*map(F.lit, c)).alias("classes")) for c in combinations(range(d), n)])
-    exploded = df.select(F.col(row_id).alias("row_id"), F.explode(chosen).alias("c"))
-    return exploded.filter(F.array_contains("c.classes", F.pmod(F.col("row_id"), F.lit(d)).cast("int"))).select("c.subset", "row_id")
+    also = [F.col(k).alias(f"kept_{k}") for k in keep or []]
+    exploded = df.select(F.col(row_id).alias("row_id"), *also, F.explode(chosen).alias("c"))
+    return exploded.filter(F.array_contains("c.classes", F.pmod(F.col("row_id"), F.lit(d)).cast("int"))).select("c.subset", "row_id", *[f"kept_{k}" for k in keep or []])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.operators import models, ranking, splits, standardize
+from varloom.operators import cohort, models, ranking, splits, standardize
 from varloom.sources.tables import svm_line
 from varloom.support import table
 
@@ -137,6 +137,51 @@ def split_leave_one_out_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leave_one_out(_examples(spark, sf_dir), "row_id", "label_class", 10)
 
 
+def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped splits with a given share of each class in the test set."""
+    return splits.stratified_splits(_examples(spark, sf_dir), "row_id", "label_class", "locus", 5, 0.3)
+
+
+def split_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping subsets by the rows' places."""
+    return splits.subsets_by_position(_examples(spark, sf_dir), "row_id")
+
+
+def union_case_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training matrix: standardized cases with class 1 and the control after them with class 0."""
+    rows = _scored(spark, sf_dir).select("row_id", "label_class", "score", "second").na.fill(0.0, ["score", "second"])
+    control = rows.filter("label_class = 0")
+    case, rest = (standardize.standardized(x.drop("label_class"), ["score", "second"], control.drop("label_class")) for x in (rows.filter("label_class = 1"), control))
+    both = case.withColumn("class", F.lit(1)).unionByName(rest.withColumn("class", F.lit(0)))
+    return both.select("row_id", "class", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"))
+
+
+def agg_scored_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which sources a change scores above 0.1, and how often."""
+    return cohort.cohort_counts(cohort.scoring_above(_examples(spark, sf_dir), "score"), ["locus", "alt"], "source")
+
+
+def rank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of all files, each once and in order."""
+    return table(spark, sf_dir, "variant_lines").select("file_name").distinct().orderBy("file_name")
+
+
+def rank_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's area under its hits up to a bound between two cutoffs, and that of a random order."""
+    ranked = ranking.average_rank(_scored(spark, sf_dir), "score", ["source"])
+    sizes = ranked.groupBy("source").agg(F.count_if((F.col("label_class") == 1) & F.col("rank").isNotNull()).alias("positives"), F.count("rank").alias("n")).filter("positives > 0")
+    curve = ranking.hits_at_cutoffs(ranked.filter("label_class = 1"), "source", "rank", 40)
+    areas = ranking.area(curve, "source", "k", "hits", 25.5)
+    return areas.join(sizes, "source").select("source", F.round("area", 6).alias("area"), F.round(ranking.random_area(F.col("positives"), F.col("n"), 25.5), 6).alias("random_area"))
+
+
+def rank_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leave-one-out curve over all sources, summed and per source."""
+    cases = rank_against_control(spark, sf_dir)
+    curve = ranking.recall_leave_one_out(cases, "row_id", "source", "rank")
+    return curve.select("k", "hits", F.round("mean_hits", 9).alias("mean_hits"))
+
+
 def split_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.overlapping_subsets(_examples(spark, sf_dir), "row_id")
 
@@ -179,6 +224,7 @@ QUERIES = {
     for f in (
         rank_report, rank_top, rank_in_source, rank_against_control, rank_recall_split, rank_recall_each, rank_recall_split_all, rank_recall_each_all, rank_reciprocal, rank_area, rank_cdf,
         std_against_control, std_feature_stats, std_long, std_discriminant, split_grouped, split_leave_one_out, split_grouped_all, split_leave_one_out_all, split_subsets, svm_lines,
+        split_stratified, split_positions, union_case_control, agg_scored_cohorts, rank_ids, rank_baseline, rank_leave_one_out,
         ml_forest, ml_neural_net, ml_svm, ml_single_feature, ml_without_family,
     )
 }
@@ -250,3 +296,28 @@ ORACLE |= {
     "split_grouped_all": ORACLE["split_grouped"].replace("range(1, 6)", "range(1, 51)"),
     "split_leave_one_out_all": ORACLE["split_leave_one_out"].replace("range(1, 4)", "range(1, 11)"),
 }
+ORACLE |= {
+    "split_stratified": r"""WITH x AS (SELECT row_id, label_class AS label, regexp_replace(regexp_replace(chrom, '[^\p{L}\p{N}_]+', '', 'g'), '(?i)^chr', '') || ':' || pos // 1000000 AS locus, unnest(range(1, 6)) AS iteration
+        FROM split_rows WHERE label_class IN (0, 1)),
+      d AS (SELECT *, row_number() OVER (PARTITION BY iteration, label ORDER BY md5('1:' || iteration || ':' || row_id), row_id) <= floor(count(*) OVER (PARTITION BY iteration, label) * 0.3) AS is_test FROM x)
+      SELECT CAST(iteration AS INT) AS iteration, row_id, 'test' AS role FROM d WHERE is_test UNION ALL
+      SELECT CAST(iteration AS INT), row_id, 'train' FROM d WHERE NOT is_test AND (label = 0 OR NOT EXISTS (SELECT 1 FROM d e WHERE e.is_test AND e.label = 1 AND e.iteration = d.iteration AND e.locus = d.locus))""",
+    "split_positions": """SELECT a || '' || b AS subset, row_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM split_rows),
+      (SELECT x.i AS a, y.i AS b FROM range(4) x(i), range(4) y(i) WHERE x.i < y.i) WHERE place % 4 IN (a, b)""",
+    "union_case_control": """WITH r AS (SELECT row_id, label_class, coalesce(score, 0) AS score, coalesce(CAST(pos % 997 AS DOUBLE), 0) AS second FROM split_rows),
+      c AS (SELECT avg(score) AS ms, stddev_pop(score) AS ss, avg(second) AS mt, stddev_pop(second) AS st FROM r WHERE label_class = 0)
+      SELECT row_id, label_class AS class, round((score - ms) / ss, 6) AS score, round((second - mt) / st, 6) AS second FROM r, c WHERE label_class IN (0, 1)""",
+    "agg_scored_cohorts": r"""WITH x AS (SELECT regexp_replace(regexp_replace(chrom, '[^\p{L}\p{N}_]+', '', 'g'), '(?i)^chr', '') || ':' || pos // 1000000 AS locus, alt, source, count(*) AS n
+        FROM split_rows WHERE score > 0.1 AND source IS NOT NULL GROUP BY ALL)
+      SELECT locus, alt, CAST(sum(n) AS BIGINT) AS n_total, string_agg(n || ':' || source, ',' ORDER BY n DESC, source) AS cohorts FROM x GROUP BY ALL""",
+    "rank_ids": "SELECT DISTINCT file_name FROM variant_lines",
+    "rank_baseline": f"""WITH {_SOURCE}, sizes AS (SELECT source, count(rank) FILTER (label_class = 1) AS positives, count(rank) AS n FROM sourced GROUP BY source),
+      hits AS (SELECT source, k, count(*) FILTER (rank <= k) AS hits FROM pos, (SELECT unnest(range(1, 27)) AS k) GROUP BY source, k),
+      l AS (SELECT source, k, hits, lag(hits) OVER (PARTITION BY source ORDER BY k) AS before FROM hits)
+      SELECT source, round(sum(CASE WHEN k <= 25 THEN (hits + before) / 2.0 ELSE 0.5 * (before + before + (hits - before) * 0.5) / 2.0 END), 6) AS area,
+        round(any_value(positives) / any_value(n) * 25.5 * 25.5 / 2, 6) AS random_area
+      FROM l JOIN sizes USING (source) WHERE before IS NOT NULL AND positives > 0 GROUP BY source""",
+    "rank_leave_one_out": f"""WITH {_CONTROL}, c AS (SELECT CAST(greatest(ceil(rank), 1) AS BIGINT) AS k, count(*) AS n FROM cases WHERE rank IS NOT NULL GROUP BY 1),
+      g AS (SELECT unnest(range(1, (SELECT count(*) FROM cases) + 1)) AS k)
+      SELECT g.k, CAST(coalesce(sum(n) OVER (ORDER BY g.k), 0) AS BIGINT) AS hits, round(CAST(coalesce(sum(n) OVER (ORDER BY g.k), 0) AS DOUBLE) / (SELECT count(DISTINCT source) FROM cases), 9) AS mean_hits FROM g LEFT JOIN c ON g.k = c.k""",
+}

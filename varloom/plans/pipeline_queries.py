@@ -88,7 +88,7 @@ def feature_matrix(hits: DataFrame, chunks: DataFrame, families: list[str]) -> D
     ids = ["variant_id", "gene", "tx", "chrom", "pos", "g_ref", "g_alt"]
     exons = annotate.mutated_exons(hits.withColumn("g_ref", F.col("ref")).withColumn("g_alt", F.col("alt")), chunks)
     cut = dict(zip(("fold_pre", "fold_post"), cropped(F.concat(F.get("before", F.lit(0)), "head"), F.concat("tail", F.get("after", F.lit(0))), DOMAIN)))
-    made = annotate.places_in_transcript() | cut | {"seq": F.col("codon"), "offset": F.col("frame")}
+    made = annotate.places_in_transcript() | cut | {"seq": F.col("codon"), "offset": F.col("frame"), "raw_head": F.col("head")}
     ready = exons.select(*[c for c in exons.columns if c not in ("codon", "frame", "is_synonymous")], *[c.alias(n) for n, c in made.items()])
     return with_features(ready, [*ids, "gerp", "f_premrna", "f_mrna"], families).na.fill(0)
 

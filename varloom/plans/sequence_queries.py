@@ -109,8 +109,10 @@ def _matrix_features() -> dict[str, Column]:
 
 
 def _cpg_features() -> dict[str, Column]:
+    """CpG made or broken, and observed over expected; null where the head holds anything but capital bases."""
+    plain = F.translate("raw_head", "ACGT", "") == ""
     cpg = sequence.makes_cpg(F.right("head", F.lit(1)), F.left("tail", F.lit(1)), F.col("ref"), F.col("alt"))
-    return {"is_cpg": cpg.cast("int"), "cpg_exon": F.round(sequence.cpg_ratio(F.col("exon")), 6)}
+    return {"is_cpg": F.when(plain, cpg.cast("int")), "cpg_exon": F.when(plain, F.round(sequence.cpg_ratio(F.col("exon")), 6))}
 
 
 def _position_features() -> dict[str, Column]:

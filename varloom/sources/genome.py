@@ -118,3 +118,9 @@ def regions(chunks: DataFrame, wanted: DataFrame, size: int = CHUNK) -> DataFram
     part = F.substring("seq", (low + 1).cast("int"), (high - low).cast("int"))
     merged = joined.groupBy("region_id", "name", "start", "end").agg(F.array_sort(F.collect_list(F.struct("chunk_id", part.alias("part")))).alias("parts"))
     return merged.select("region_id", "name", "start", "end", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"))
+
+
+def fasta(found: DataFrame, width: int = 60) -> DataFrame:
+    """(region_id, record): each region as a FASTA record, its bases in lines of `width`."""
+    lines = F.regexp_replace("seq", rf"(.{{{width}}})(?=.)", "$1\n")
+    return found.select("region_id", F.concat(F.lit(">"), "name", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("\n"), lines).alias("record"))
