@@ -275,6 +275,24 @@ def test_stratified_splits_have_exact_shares(spark):
     assert splits.stratified_splits(df.limit(0), "id", "y", "g", 2).collect() == []
 
 
+def test_first_rows_are_drawn_without_moving_the_others(spark):
+    keys = [f"{i % 3:04x}{i % 7:04x}" for i in range(300)]
+    df = spark.createDataFrame([(i, i % 2, k) for i, k in enumerate(keys)], "id long, g int, k string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for share in (0.0, 0.001, 0.3, 0.5, 1.0):
+            drawn = splits.first_of_each(df, ["g"], "k", "id", share)
+            for g in (0, 1):
+                own = sorted((keys[i], i) for i in range(300) if i % 2 == g)
+                assert sorted(r.id for r in drawn.filter(F.col("first") & (F.col("g") == g)).collect()) == sorted(i for _, i in own[: math.floor(share * 150)])
+            assert drawn.count() == 300
+        # the counts by digits never meet the rows; what does is one row a group
+        assert "SortMergeJoin" not in (plan := drawn._jdf.queryExecution().executedPlan().toString()) and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_one_left_out(spark):
     df = spark.createDataFrame([(i, int(i < 4)) for i in range(40)], "id long, y int")
     compact = splits.leave_one_out(df, "id", "y", 2)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.support import stored
+from varloom.support import small, stored
 
 
 def shuffled(seed: int, *ids: str) -> Column:
@@ -39,19 +39,23 @@ def grouped_splits(df: DataFrame, row_id: str, label: str, group: str, iteration
 def first_of_each(rows: DataFrame, by: list[str], key: str, row_id: str, share: float) -> DataFrame:
     """rows with `first`: whether a row is among the first floor(share * n) of its group by (key, row_id); `key` is a hexadecimal text.
 
-    Rows are counted by group and the first four digits of the key. Groups of
-    those digits are taken whole as far as they fit and only the rows of the
-    one at the bound are ranked, so no task sorts a group.
+    Rows are counted by group and the first four digits of the key. Of those
+    counts one row a group is left, the digits at the bound and how many rows
+    are first there. It is what rows are held against, so no row is shuffled or
+    sorted but those at the bound.
     """
     digits = rows.withColumn("__lot", F.substring(key, 1, 4))
     lots = digits.groupBy(*by, "__lot").agg(F.count("*").alias("__n"))
     every, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
     left = (F.floor(F.sum("__n").over(every) * share) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__left")
-    placed = digits.join(lots.select(*by, "__lot", "__n", left), [*by, "__lot"])
-    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__n"))
-    rank = F.row_number().over(Window.partitionBy(*by, "__lot").orderBy(key, row_id))
-    at_bound = placed.filter(cut).withColumn("first", rank <= F.col("__left"))
-    others = placed.filter(~cut).withColumn("first", F.col("__left") >= F.col("__n"))
+    reached = lots.select(*by, "__lot", "__n", left).filter(F.col("__left") > 0)
+    # the last digits of which any row is first
+    bounds = reached.groupBy(*by).agg(F.max(F.struct("__lot", "__left")).alias("__bound"))
+    placed = digits.join(small(bounds), by, "left")
+    at = F.col("__lot") == F.col("__bound")["__lot"]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key, row_id))
+    at_bound = placed.filter(at).withColumn("first", rank <= F.col("__bound")["__left"])
+    others = placed.filter(~F.coalesce(at, F.lit(False))).withColumn("first", F.coalesce(F.col("__lot") < F.col("__bound")["__lot"], F.lit(False)))
     return at_bound.unionByName(others).select(*rows.columns, "first")
 
 
@@ -66,9 +70,9 @@ def stratified_splits(df: DataFrame, row_id: str, label: str, group: str, iterat
     repeated = rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("key", shuffled(seed, "iteration", "row_id"))
     drawn = first_of_each(repeated, ["iteration", "label"], "key", "row_id", test_share)
     tested = drawn.filter("first AND label = 1").select("iteration", "group").distinct()
-    spared = drawn.filter("label = 1 AND NOT first").join(tested, ["iteration", "group"], "left_anti")
-    train = drawn.filter("label = 0 AND NOT first").select("iteration", "row_id").unionByName(spared.select("iteration", "row_id"))
-    return train.withColumn("role", F.lit("train")).unionByName(drawn.filter("first").select("iteration", "row_id", F.lit("test").alias("role")))
+    spared = drawn.filter("label = 1 AND NOT first").join(tested, ["iteration", "group"], "left_anti").select("iteration", "row_id", F.lit("train").alias("role"))
+    others = drawn.filter("first OR label = 0").select("iteration", "row_id", F.when(F.col("first"), "test").otherwise("train").alias("role"))
+    return others.unionByName(spared)
 
 
 def left_out(compact: DataFrame, major: int, replicate: int) -> DataFrame:
