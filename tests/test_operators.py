@@ -337,6 +337,21 @@ def test_models_separate_classes(spark):
         assert min(r.score for r in got if r.y) > max(r.score for r in got if not r.y)
 
 
+def test_forest_on_cells_scores_as_on_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(rng.randrange(6), rng.random(), rng.randrange(2)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, float(a), b, None if i == 7 else c + 0.5, int(rng.random() < (0.8 if a > 2 and b > 0.5 else 0.3))) for i, (a, b, c) in enumerate(data)], "id int, a double, b double, c double, y int")
+    pipeline = models.forest(["a", "b", "c"], "y", trees=300, depth=5)
+    rows = {r.id: r.score for r in models.scores(pipeline.fit(df), df).collect()}
+    again = [{r.id: r.score for r in models.fitted_scores(pipeline, x).collect()} for x in (df, df.repartition(5))]
+    assert again[0] == again[1] and 7 not in rows and set(rows) == set(again[0])
+    apart = [abs(rows[i] - again[0][i]) for i in rows]
+    assert sum(apart) / len(apart) < 0.02 and max(apart) < 0.12 and math.sqrt(sum((x - 0.4) ** 2 for x in rows.values()) / len(rows)) > 0.15
+    # no forest of Spark's is fitted, which passes over all rows for every level of every tree
+    monkeypatch.setattr(models.Pipeline, "fit", lambda *_: pytest.fail("fitted on rows"))
+    assert models.fitted_scores(pipeline, df).count() == 1499
+
+
 def test_coding_length_in_frame(spark, tmp_path):
     from varloom.plans import variant_queries
 

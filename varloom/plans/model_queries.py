@@ -192,7 +192,7 @@ def svm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model_scores(spark: SparkSession, sf_dir: str, pipeline) -> DataFrame:
     t = _labelled(spark, sf_dir).select(*KEYS, "label", *FEATURES)
-    return models.scores(pipeline.fit(t), t).select(*KEYS, "label", "score")
+    return models.fitted_scores(pipeline, t).select(*KEYS, "label", "score")
 
 
 def ml_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
