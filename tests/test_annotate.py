@@ -99,6 +99,12 @@ def test_from_a_packed_genome_to_the_report(spark, tmp_path):
     for r in with_features(parsed, ["variant_id"], ["usage", "cpg", "matrices", "splice", "motifs", "position"]).na.fill(0).collect():
         want = r.asDict()
         assert {k: round(float(got[r.variant_id][k]), 6) for k in want} == {k: round(float(x), 6) for k, x in want.items()}
+    # the report's families from exons that are counted, not carried along
+    quick = {r.variant_id: r.asDict() for r in pipeline_queries.feature_matrix(hits, chunks, pipeline_queries.QUICK).collect()}
+    assert {k: {n: round(x, 6) if isinstance(x, float) else x for n, x in r.items()} for k, r in quick.items()} == {k: {n: round(got[k][n], 6) if isinstance(got[k][n], float) else got[k][n] for n in r} for k, r in quick.items()} and len(quick) == len(got)
+    named = annotate.coding_hits(df, at, chunks).select("variant_id", "rec", "cds_offset", "codon", "frame", "s_ref", "s_alt", "is_synonymous")
+    plain = annotate.with_codons(annotate.point_in_interval(df, at, "chrom", "pos", "cds_start", "cds_end"), chunks, ["variant_id", "rec"]).select(named.columns)
+    assert named.exceptAll(plain).count() == plain.exceptAll(named).count() == 0 < named.filter("codon IS NOT NULL").count()
     labels = df.select("variant_id", (F.col("variant_id") % 3 == 0).cast("int").alias("label"))
     report = pipeline_queries.ranked_report(matrix, labels).collect()
     assert sorted(r.variant_id for r in report) == sorted(got) and {(r.chrom, r.pos, r.ref, r.alt) for r in report} <= {c[1:5] for c in calls}
@@ -106,6 +112,16 @@ def test_from_a_packed_genome_to_the_report(spark, tmp_path):
     assert best.score == max(r.score for r in report) and all(0 <= r.score <= 1 for r in report)
 
 
+def test_a_genome_with_gaps(spark):
+    """Regions and windows of a table that lacks some chunks of a sequence."""
+    chunks = chunks_of(spark, {"1": "ACGTACGTGGCCGTTA"}, 4).filter("chunk_id <> 1")
+    wanted = spark.createDataFrame([(1, "1", 9, 14), (2, "1", 12, 40)], "region_id int, name string, start long, end long")
+    assert {r.region_id: r.seq for r in genome.regions(chunks, wanted, 4).collect()} == {1: "GCCGT", 2: "GTTA"}
+    places = spark.createDataFrame([("1", p) for p in (1, 4, 6, 9, 12, 12, 16, 17, None)] + [(None, 3), ("2", 3)], "chrom string, pos long")
+    got = {r.pos: r.around for r in genome.windows(chunks, places, 2, 4).collect()}
+    assert got == {1: "NNACG", 4: "CGTNN", 9: "NNGGC", 12: "GCCGT", 16: "TTANN"}
+
+
 def test_a_family_can_be_added(spark):
     register(Family("length", lambda: {"length": F.length("s") + F.col("one")}, [lambda: {"one": F.lit(1)}]))
     df = spark.createDataFrame([("abc",)], "s string")

@@ -227,6 +227,11 @@ def cpg_ratio(seq: Column) -> Column:
     return F.coalesce(F.try_divide(count("CG") * F.length(seq), count("C") * count("G")), F.when(seq.isNotNull(), F.lit(0.0)))
 
 
+def cpg_ratio_of(n_cg: Column, n_c: Column, n_g: Column, n: Column) -> Column:
+    """cpg_ratio() of a sequence known by its counts."""
+    return F.coalesce(F.try_divide(n_cg.cast("double") * n, n_c.cast("double") * n_g), F.when(n.isNotNull(), F.lit(0.0)))
+
+
 def _even(chunks: Column) -> Column:
     return F.filter(chunks, lambda x, i: i % 2 == 0)
 

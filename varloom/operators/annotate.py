@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from varloom.functions.genetics import is_synonymous, on_strand, reverse_complement, swapped, translated
 from varloom.functions.sequence import mutation_string
 from varloom.operators.intervals import best_per, cds_offset, cds_position, point_in_interval, premrna_offset, segment_offsets, unique_per
-from varloom.sources.genome import CHUNK, regions
+from varloom.sources.genome import CHUNK, regions, windows
 
 #: Bases fetched on either side of a mutated exon; more than any feature looks at.
 FLANK = 60
@@ -32,13 +32,11 @@ def placed_transcripts(transcripts: DataFrame) -> DataFrame:
 def bases_at(places: DataFrame, chunks: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
     """keys and `bases`: the letters at the 1-based positions in the array `at` on `chrom`, in its order, N where the genome has none.
 
-    Positions meet the chunks they fall into in a join by chromosome and chunk
-    number, of which the genome's side never grows with the data.
+    Positions are gathered by chunk, so that no row is joined with a chunk's text.
     """
-    each = places.select(*keys, "chrom", F.posexplode("at").alias("__i", "__pos")).withColumn("chunk_id", F.floor((F.col("__pos") - 1) / size))
-    joined = each.join(chunks.select(F.col("name").alias("chrom"), F.col("chunk_id"), "seq"), ["chrom", "chunk_id"], "left")
-    base = F.nullif(F.substring("seq", (F.col("__pos") - F.col("chunk_id") * size).cast("int"), F.lit(1)), F.lit(""))
-    letters = joined.select(*keys, F.struct("__i", F.coalesce(base, F.lit("N")).alias("base")).alias("x"))
+    each = places.select(*keys, "chrom", F.posexplode("at").alias("__i", "pos"))
+    joined = each.join(windows(chunks, each.select("chrom", "pos"), 0, size), ["chrom", "pos"], "left")
+    letters = joined.select(*keys, F.struct("__i", F.coalesce("around", F.lit("N")).alias("base")).alias("x"))
     return letters.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["base"]), "").alias("bases"))
 
 
@@ -48,6 +46,35 @@ def codon_places(offset: Column, segments: Column, strand: Column) -> Column:
     return F.array(*[cds_position(first + k, segments, strand) for k in range(3)])
 
 
+def with_around(changes: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """changes (chrom, pos, ...) with `around`, the five bases round each, N where the genome has none."""
+    found = windows(chunks, changes.select("chrom", "pos"), 2, size)
+    return changes.join(found, ["chrom", "pos"], "left").fillna("NNNNN", ["around"])
+
+
+def with_split_codons(placed: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """placed with `split_codons`, a map from the offset of each codon that lies in several segments to its bases in reading direction."""
+    cut = placed.select("rec", "chrom", "strand", "segments", F.explode(F.array_distinct(F.transform("segments", lambda s: s["before"] - s["before"] % 3))).alias("first"))
+    places = cut.select("rec", "first", "chrom", codon_places(F.col("first"), F.col("segments"), F.col("strand")).alias("at")).filter(F.forall("at", lambda x: x.isNotNull()))
+    maps = bases_at(places.distinct(), chunks, ["rec", "first"], size).groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("first", "bases"))).alias("split_codons"))
+    return placed.join(maps, "rec", "left")
+
+
+def with_codons_round(hits: DataFrame) -> DataFrame:
+    """with_codons() of hits that have `around` and `split_codons` of with_around() and with_split_codons(): one projection, no join."""
+    position, plus = F.col("pos"), F.col("strand") != "-"
+    here = F.get(F.filter("segments", lambda s: (s["start"] < position) & (position <= s["end"])), F.lit(0))
+    placed = hits.withColumn("__here", here).withColumn("cds_offset", F.col("__here")["before"] + F.when(plus, position - F.col("__here")["start"] - 1).otherwise(F.col("__here")["end"] - position))
+    framed = placed.withColumn("frame", (F.col("cds_offset") % 3).cast("int")).withColumn("__first", F.col("cds_offset") - F.col("frame"))
+    before, length = F.col("__here")["before"], F.col("__here")["end"] - F.col("__here")["start"]
+    whole = (before <= F.col("__first")) & (F.col("__first") + 3 <= before + length)
+    read = F.when(plus, F.substring("around", 3 - F.col("frame"), F.lit(3))).otherwise(F.reverse(F.substring("around", 1 + F.col("frame"), F.lit(3))))
+    bases = F.when(whole, read).otherwise(F.try_element_at("split_codons", F.col("__first")))
+    turned = framed.withColumn("codon", on_strand(bases, F.col("strand"))).withColumn("s_ref", on_strand(F.col("ref"), F.col("strand"))).withColumn("s_alt", on_strand(F.col("alt"), F.col("strand")))
+    found = turned.withColumn("is_synonymous", is_synonymous(F.col("codon"), F.col("frame"), F.col("s_ref"), F.col("s_alt")))
+    return found.drop("__here", "__first", "around", "split_codons")
+
+
 def with_codons(hits: DataFrame, chunks: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
     """hits with s_ref and s_alt on the transcript's strand, cds_offset, frame, codon and is_synonymous.
 
@@ -66,8 +93,17 @@ def with_codons(hits: DataFrame, chunks: DataFrame, keys: list[str], size: int =
 
 def synonymous_hits(changes: DataFrame, placed: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """Every change (variant_id, chrom, pos, ref, alt, ...) with each transcript in which it is synonymous."""
-    hits = point_in_interval(changes, placed, "chrom", "pos", "cds_start", "cds_end")
-    return with_codons(hits, chunks, ["variant_id", "rec"], size).filter("is_synonymous")
+    return coding_hits(changes, placed, chunks, size).filter("is_synonymous")
+
+
+def coding_hits(changes: DataFrame, placed: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Every change with each transcript whose coding range covers it and what with_codons() says.
+
+    The five bases round a change are fetched before it meets the transcripts,
+    and those of codons that lie in several segments once a transcript, so the
+    hits, each with a whole transcript's places, are not shuffled.
+    """
+    return with_codons_round(point_in_interval(with_around(changes, chunks, size), with_split_codons(placed, chunks, size), "chrom", "pos", "cds_start", "cds_end"))
 
 
 def longest(hits: DataFrame) -> DataFrame:
@@ -171,11 +207,53 @@ def mutated_exons(hits: DataFrame, chunks: DataFrame, size: int = CHUNK, flank:
     )
 
 
-def places_in_transcript() -> dict[str, Column]:
+def mutated_surroundings(hits: DataFrame, chunks: DataFrame, size: int = CHUNK, flank: int = FLANK) -> DataFrame:
+    """mutated_exons() without the exon's text: head, tail, before and after hold no more than `flank` bases round the change.
+
+    Beside them are head_length and tail_length of the whole exon, its counts
+    n_cg, n_c, n_g and n, and head_plain, whether the whole head is capital
+    bases. An exon is fetched and counted once, and no row carries its text.
+    """
+    offset = premrna_offset(F.col("pos"), F.col("tx_start"), F.col("tx_end"), F.col("strand"))
+    edged = hits.withColumn("edges", exon_edges()).withColumn("premrna_offset", offset)
+    cut = F.size(F.filter("edges", lambda e: e <= F.col("premrna_offset"))) - 1
+    cuts = F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), lambda a, b: b - a)
+    ranged = edged.withColumn("cut", cut).withColumn("cuts", cuts).withColumn("low", F.get("edges", F.col("cut"))).withColumn("high", F.get("edges", F.col("cut") + 1)).drop("edges")
+    minus = F.col("strand") == "-"
+    ranged = ranged.withColumn("start", F.when(minus, F.col("tx_end") - F.col("high")).otherwise(F.col("tx_start") + F.col("low"))).withColumn("end", F.col("start") + F.col("high") - F.col("low"))
+    wanted = ranged.select(F.col("chrom").alias("name"), "start", "end").distinct().withColumn("region_id", F.xxhash64("name", "start", "end"))
+    exons = regions(chunks, wanted, size).select(F.col("name").alias("chrom"), "start", "end", F.upper("seq").alias("seq"))
+    count = lambda word: ((F.length("seq") - F.length(F.replace("seq", F.lit(word), F.lit("")))) / len(word)).cast("long")
+    other = {"first_other": F.expr("length(seq) - length(trim(LEADING 'ACGT' FROM seq))"), "last_other": F.expr("length(trim(TRAILING 'ACGT' FROM seq))")}
+    counted = exons.select("chrom", "start", "end", count("CG").alias("n_cg"), count("C").alias("n_c"), count("G").alias("n_g"), F.length("seq").cast("long").alias("n"), *[c.alias(k) for k, c in other.items()])
+    joined = ranged.join(counted, ["chrom", "start", "end"]).join(windows(chunks, hits.select("chrom", "pos"), flank, size), ["chrom", "pos"])
+    text = F.upper(F.when(minus, reverse_complement(F.col("around"))).otherwise(F.col("around")))
+    turned = joined.withColumn("around", text)
+    n_pre, n_post = F.least(F.lit(flank), F.col("premrna_offset")).cast("int"), F.least(F.lit(flank), F.col("tx_end") - F.col("tx_start") - F.col("premrna_offset") - 1).cast("int")
+    pre, post = F.substring("around", flank + 1 - n_pre, n_pre), F.substring("around", F.lit(flank + 2), n_post)
+    head_length, tail_length = F.col("premrna_offset") - F.col("low"), F.col("high") - F.col("premrna_offset") - 1
+    n_head, n_tail = F.least(n_pre, head_length.cast("int")), F.least(n_post, tail_length.cast("int"))
+    plain = F.when(minus, F.col("last_other") <= F.col("pos") - F.col("start")).otherwise(F.col("first_other") >= F.col("pos") - F.col("start") - 1)
+    return turned.select(
+        *[c for c in hits.columns if c not in ("ref", "alt")],
+        F.col("s_ref").alias("ref"),
+        F.col("s_alt").alias("alt"),
+        F.array(F.left(pre, n_pre - n_head)).alias("before"),
+        F.right(pre, n_head).alias("head"),
+        F.left(post, n_tail).alias("tail"),
+        F.array(F.right(post, n_post - n_tail)).alias("after"),
+        head_length.cast("long").alias("head_length"),
+        tail_length.cast("long").alias("tail_length"),
+        plain.alias("head_plain"),
+        *("n_cg", "n_c", "n_g", "n", "premrna_offset", "cut", "cuts"),
+    )
+
+
+def places_in_transcript(head: Column | None = None, tail: Column | None = None) -> dict[str, Column]:
     """f_premrna and f_mrna from the lengths of the cuts: what relative_positions gives for the marked transcript."""
     total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
     even = lambda lengths: F.filter(lengths, lambda x, i: i % 2 == 0)
-    head, tail = F.length("head").cast("long"), F.length("tail").cast("long")
+    head, tail = (F.length(n).cast("long") if c is None else c for n, c in (("head", head), ("tail", tail)))
     before, after = F.slice("cuts", F.lit(1), F.col("cut")), F.slice("cuts", F.col("cut") + 2, F.size("cuts"))
     pre, post = total(before) + head + F.col("cut"), total(after) + tail + F.size(after)
     exon_pre, exon_post = total(even(F.concat(before, F.array(head)))), total(even(F.concat(F.array(tail), after)))

@@ -14,7 +14,6 @@ from varloom.functions import genetics
 from varloom.functions.registry import with_features
 from varloom.functions.sequence import cropped
 from varloom.operators import annotate, lookup, ranking, standardize
-from varloom.operators.intervals import point_in_interval
 from varloom.plans.sequence_queries import MATRIX, bases
 from varloom.plans.variant_queries import _AF, _TX, _VARIANTS, _chrom, clean_snvs
 from varloom.sources import variants as v
@@ -62,8 +61,8 @@ def pipe_synonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipe_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single-base call in every transcript whose coding range covers it, with its codon there."""
-    hits = point_in_interval(clean_snvs(spark, sf_dir).select("variant_id", "chrom", "pos", "ref", "alt"), _placed(spark, sf_dir), "chrom", "pos", "cds_start", "cds_end")
-    found = annotate.with_codons(hits, stand_in_genome(spark, sf_dir), ["variant_id", "rec"]).filter("codon IS NOT NULL")
+    calls = clean_snvs(spark, sf_dir).select("variant_id", "chrom", "pos", "ref", "alt")
+    found = annotate.coding_hits(calls, _placed(spark, sf_dir), stand_in_genome(spark, sf_dir)).filter("codon IS NOT NULL")
     return found.select("variant_id", "tx", "cds_start", "cds_offset", "codon", "is_synonymous")
 
 
@@ -84,11 +83,16 @@ def feature_matrix(hits: DataFrame, chunks: DataFrame, families: list[str]) -> D
     """variant_id, gene, tx, chrom, pos and g_ref, g_alt of the hits with the features of each change, nulls as 0.
 
     The families that look for motifs need the columns of with_motifs() in hits.
+    Where all families are among QUICK, exons are counted and not carried along.
     """
     ids = ["variant_id", "gene", "tx", "chrom", "pos", "g_ref", "g_alt"]
-    exons = annotate.mutated_exons(hits.withColumn("g_ref", F.col("ref")).withColumn("g_alt", F.col("alt")), chunks)
+    local = set(families) <= set(QUICK)
+    fetch = annotate.mutated_surroundings if local else annotate.mutated_exons
+    exons = fetch(hits.withColumn("g_ref", F.col("ref")).withColumn("g_alt", F.col("alt")), chunks)
     cut = dict(zip(("fold_pre", "fold_post"), cropped(F.concat(F.get("before", F.lit(0)), "head"), F.concat("tail", F.get("after", F.lit(0))), DOMAIN)))
-    made = annotate.places_in_transcript() | cut | {"seq": F.col("codon"), "offset": F.col("frame"), "raw_head": F.col("head")}
+    places = annotate.places_in_transcript(*map(F.col, ("head_length", "tail_length"))) if local else annotate.places_in_transcript()
+    families = ["cpg_counted" if local and f == "cpg" else f for f in families]
+    made = places | cut | {"seq": F.col("codon"), "offset": F.col("frame"), "raw_head": F.col("head")}
     ready = exons.select(*[c for c in exons.columns if c not in ("codon", "frame", "is_synonymous")], *[c.alias(n) for n, c in made.items()])
     return with_features(ready, [*ids, "gerp", "f_premrna", "f_mrna"], families).na.fill(0)
 

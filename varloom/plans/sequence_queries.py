@@ -115,6 +115,13 @@ def _cpg_features() -> dict[str, Column]:
     return {"is_cpg": F.when(plain, cpg.cast("int")), "cpg_exon": F.when(plain, F.round(sequence.cpg_ratio(F.col("exon")), 6))}
 
 
+def _counted_cpg_features() -> dict[str, Column]:
+    """The features of cpg for an exon of which only counts are known."""
+    cpg = sequence.makes_cpg(F.right("head", F.lit(1)), F.left("tail", F.lit(1)), F.col("ref"), F.col("alt"))
+    ratio = sequence.cpg_ratio_of(*map(F.col, ("n_cg", "n_c", "n_g", "n")))
+    return {"is_cpg": F.when(F.col("head_plain"), cpg.cast("int")), "cpg_exon": F.when(F.col("head_plain"), F.round(ratio, 6))}
+
+
 def _position_features() -> dict[str, Column]:
     f = sequence.relative_positions(F.col("marked"), parts())
     return {"f_premrna": F.round(f["f_premrna"], 6), "f_mrna": F.round(f["f_mrna"], 6)}
@@ -195,6 +202,7 @@ for family in (
     Family("motifs", _motif_features, [_motif_counts]),
     Family("matrices", _matrix_features, [_matrix_counts]),
     Family("cpg", _cpg_features, [lambda: {"exon": sequence.exon_old(parts())}]),
+    Family("cpg_counted", _counted_cpg_features),
     Family("position", _position_features),
     Family("usage", _usage_features, [_codons, _new_codons, _new_numbers, _synonymous]),
     Family("splice", _splice_features, [_around, _junctions]),

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.support import small
+
 # The signature of a packed file and the bases of its two-bit codes.
 SIGNATURE, CODES = 0x1A412743, np.frombuffer(b"TCAG", dtype=np.uint8)
 
@@ -106,11 +109,13 @@ def sizes(chunks: DataFrame) -> DataFrame:
 def regions(chunks: DataFrame, wanted: DataFrame, size: int = CHUNK) -> DataFrame:
     """The wanted rows (region_id, name, start, end) with the bases of [start, end).
 
-    Start is clamped to 0 and end to the sequence's length; unknown names and
+    Start is clamped to 0 and end to the end of the sequence's last chunk, so a
+    table that holds some chunks of a sequence will do; unknown names and
     regions that are empty then give no row. Each region meets only the chunks
     it touches, in a join by name and chunk number.
     """
-    clamped = wanted.join(sizes(chunks), "name").select("region_id", "name", F.greatest(F.lit(0), F.col("start")).alias("start"), F.least("size", "end").alias("end")).filter("start < end")
+    ends = chunks.groupBy("name").agg(F.max(F.col("chunk_id") * size + F.length("seq")).alias("size"))
+    clamped = wanted.join(ends, "name").select("region_id", "name", F.greatest(F.lit(0), F.col("start")).alias("start"), F.least("size", "end").alias("end")).filter("start < end")
     spread = clamped.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
     joined = spread.join(chunks, ["name", "chunk_id"])
     low = F.greatest(F.lit(0), F.col("start") - F.col("chunk_id") * size)
@@ -120,6 +125,40 @@ def regions(chunks: DataFrame, wanted: DataFrame, size: int = CHUNK) -> DataFram
     return merged.select("region_id", "name", "start", "end", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"))
 
 
+def windows(chunks: DataFrame, places: DataFrame, radius: int, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos, around): the bases from pos - radius to pos + radius, N where there are none, of each 1-based place (chrom, pos) in a chunk.
+
+    The places of a chunk, of which there are no more than its bases, are
+    gathered first, so each chunk is gone through once however many rows ask.
+    Only the few bases at the edges of its neighbours are put beside it.
+    """
+    if radius > size:
+        raise ValueError("a window must not reach beyond the neighbours of a chunk")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, chunk, seq, left, right, at in zip(*(batch.column(c).to_pylist() for c in ("chrom", "chunk_id", "seq", "left", "right")), batch.column("at")):
+                letters = np.frombuffer(f"{left or '':N>{radius}}{seq}{'N' * radius if len(seq) < size else f'{right or "":N<{radius}}'}".encode(), np.uint8)
+                at = at.values.to_numpy()
+                at = at[at < len(seq)]
+                if len(at):
+                    found = letters[at[:, None] + np.arange(2 * radius + 1)].ravel()
+                    texts = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * (2 * radius + 1)).astype(np.int32)), pa.py_buffer(found)])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(chunk * size + at + 1, pa.int64()), texts], names=["chrom", "pos", "around"])
+
+    at = F.collect_set((F.col("pos") - 1 - F.col("chunk_id") * size).cast("int")).alias("at")
+    asked = places.filter("chrom IS NOT NULL AND pos >= 1").select("chrom", F.col("pos").cast("long").alias("pos"), F.floor((F.col("pos") - 1) / size).cast("long").alias("chunk_id")).groupBy("chrom", "chunk_id").agg(at)
+    rows = chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), "seq").join(asked, ["chrom", "chunk_id"])
+    if radius:
+        edges = small(chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), F.left("seq", F.lit(radius)).alias("first"), F.right("seq", F.lit(radius)).alias("last")))
+        before = edges.select("chrom", (F.col("chunk_id") + 1).alias("chunk_id"), F.col("last").alias("left"))
+        after = edges.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"), F.col("first").alias("right"))
+        rows = rows.join(before, ["chrom", "chunk_id"], "left").join(after, ["chrom", "chunk_id"], "left")
+    else:
+        rows = rows.withColumns({"left": F.lit(""), "right": F.lit("")})
+    return rows.select("chrom", "chunk_id", "seq", "left", "right", "at").mapInArrow(cut, "chrom string, pos long, around string")
+
+
 def fasta(found: DataFrame, width: int = 60) -> DataFrame:
     """(region_id, record): each region as a FASTA record, its bases in lines of `width`."""
     lines = F.regexp_replace("seq", rf"(.{{{width}}})(?=.)", "$1\n")
