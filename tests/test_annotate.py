@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,65 @@ def test_a_genome_with_gaps(spark):
     assert got == {1: "NNACG", 4: "CGTNN", 9: "NNGGC", 12: "GCCGT", 16: "TTANN"}
 
 
+def test_the_report_has_every_family(spark, monkeypatch):
+    """pipe_report's matrix holds the features of motifs, weight matrices and splice sites too, as the whole exon gives them."""
+    chunks = chunks_of(spark, {"1": GENOME["1"][:23] + "GGTAAGTCACACGAGGTCAGCAAGTTT" + GENOME["1"][23:]})
+    long_exon = ("t+", "plus", "chr1", "+", 1, 53, 3, 22, 2, "1,11,", "10,53,")
+    calls = spark.createDataFrame([c for c in CALLS if c[1] == "1"], "variant_id long, chrom string, pos long, ref string, alt string")
+    at = placed(spark, long_exon)
+    hits = annotate.synonymous_hits(calls, at, chunks).withColumn("gerp", F.lit(0.5)).cache()
+    motifs = spark.createDataFrame([("TTCCCC",), ("TCCCCC",), ("CACACG",), ("CACACGAG",), ("TTCCCCCC",)], "motif string")
+    with_bits = lambda df: df.select("*", *[sequence.motif_bits(motifs, "motif", w).alias(f"bits_{n}") for n, _, w in sequence_queries.MOTIFS])
+    monkeypatch.setattr(pipeline_queries, "stand_in_genome", lambda *_: chunks)
+    monkeypatch.setattr(pipeline_queries, "_rare", lambda *_: hits)
+    monkeypatch.setattr(pipeline_queries, "with_motifs", lambda _spark, _dir, df: with_bits(df), raising=False)
+    monkeypatch.setattr(pipeline_queries, "table", lambda *_: calls.withColumn("filt", F.lit("PASS")))
+    monkeypatch.setattr(pipeline_queries, "ranked_report", lambda matrix, labels: matrix)
+    got = pipeline_queries.pipe_report(spark, "").collect()
+    whole = with_bits(annotate.marked_transcripts(hits, annotate.assembled(at, chunks)).drop("ref", "alt"))
+    parsed = sequence.with_parts(whole.withColumn("seq", F.col("codon")).withColumn("offset", F.col("frame")).drop("codon", "frame", "is_synonymous"), "marked")[0]
+    want = {r.variant_id: r.asDict() for r in with_features(parsed, ["variant_id"], [f for f in sequence_queries.MATRIX if f not in ("domains", "pdg", "pvar")]).na.fill(0).collect()}
+    assert [r.variant_id for r in got] == [1] == list(want)
+    assert {k: round(float(got[0][k]), 6) for k in want[1]} == {k: round(float(x), 6) for k, x in want[1].items()}
+    assert want[1]["sil_lost"] > 0 and want[1]["enh_lost"] > 0
+
+
+@pytest.mark.parametrize("size", [8, 13, 64])
+def test_words_counted_over_chunks(spark, size):
+    """Words on either strand, across the ends of chunks and beside letters that are no bases, in long, short and unknown ranges."""
+    rng = random.Random(size)
+    text = "".join(rng.choice("ACGTACGTACGTN") for _ in range(300))
+    chunks = chunks_of(spark, {"1": text}, size)
+    tables = {"two": [np.array([rng.randint(0, 2) for _ in range(16)]), np.array([rng.randint(0, 1) for _ in range(64)]), np.array([rng.randint(0, 1) for _ in range(16)])], "six": [np.array([rng.randint(0, 1) for _ in range(4**6)])]}
+    tables |= {f"{n}_minus": [genome.turned_words(t) for t in several] for n, several in tables.items()}
+    ends = [(0, 300), (0, 1), (size - 1, size + 1), (size, 2 * size), (7, 7), (290, 999)] + [tuple(sorted(rng.sample(range(300), 2))) for _ in range(60)]
+    ranges = spark.createDataFrame([("1", *e) for e in ends] + [("2", 0, 9)], "chrom string, start long, end long")
+    got = {(r.chrom, r.start, r.end): r.asDict() for r in genome.counted(chunks, ranges, tables, size).collect()}
+    turned = str.maketrans("ACGT", "TGCA")
+    for a, b in {e for e in ends if e[0] < e[1]}:
+        part, row = text[a:b], got["1", a, b]
+        assert (row["n"], row["n_other"]) == (len(part), part.count("N"))
+        for name, several in tables.items():
+            read = part[::-1].translate(turned) if name.endswith("_minus") else part
+            several = tables[name.removesuffix("_minus")]
+            word = lambda w: sum("ACGT".index(x) * 4**k for k, x in enumerate(reversed(w)))
+            words = [(t, read[i : i + w]) for t in several for w in [genome.word_width(t)] for i in range(len(read) - w + 1)]
+            assert row[name] == sum(int(t[word(x)]) for t, x in words if "N" not in x), (a, b, name)
+    assert len(got) == len({e for e in ends if e[0] < e[1]}) + 1 and got["2", 0, 9]["n"] == 0
+
+
+def test_word_tables(spark):
+    """The tables have the same hits as the expressions."""
+    text = "".join(random.Random(3 + i).choice("ACGT") for i in range(1500))
+    numbers = lambda w: [sum("ACGT".index(x) * 4**k for k, x in enumerate(reversed(text[i : i + w]))) for i in range(len(text) - w + 1)]
+    bits = sequence.motif_bits(spark.createDataFrame([(text[i : i + 6],) for i in range(0, 90, 3)], "motif string"), "motif", 6)
+    df = spark.createDataFrame([(text,)], "s string").select("s", bits.alias("bits"))
+    row = df.select("bits", sequence.motif_hits("bits", 6)(F.col("s")).alias("motifs"), *[sequence.matrix_hits(n)(F.col("s")).alias(n) for n in sequence.MATRICES]).first()
+    tables = {n: sequence.matrix_words(n) for n in sequence.MATRICES} | {"motifs": sequence.motif_words(row["bits"], 6)}
+    for name, t in tables.items():
+        assert row[name] == [i + 1 for i, x in enumerate(numbers(genome.word_width(t))) if t[x]], name
+
+
 def test_a_family_can_be_added(spark):
     register(Family("length", lambda: {"length": F.length("s") + F.col("one")}, [lambda: {"one": F.lit(1)}]))
     df = spark.createDataFrame([("abc",)], "s string")

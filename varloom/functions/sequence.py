@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,13 @@ def motif_bits(motifs: DataFrame, column: str, width: int) -> Column:
     return found.select(whole.alias("bits")).scalar()
 
 
+def motif_words(bits: list[int] | None, width: int) -> np.ndarray:
+    """The set of motif_bits() as a table with 1 at the number of each word that is in it."""
+    if bits is None:
+        return np.zeros(4**width, np.uint8)
+    return np.unpackbits(np.array(bits, dtype="<i8").view(np.uint8), bitorder="little")[: 4**width]
+
+
 def motif_hits(bits: str, width: int):
     """A function from a sequence to the places at which a motif of the set in the column `bits` begins.
 
@@ -200,16 +208,28 @@ def matrix_hits(name: str):
     return places
 
 
-def motif_feature(m: dict[str, Column], finders: list) -> dict[str, Column]:
+def matrix_words(name: str) -> np.ndarray:
+    """A table with 1 at the number of each word whose weights reach the matrix's threshold."""
+    threshold, weights = MATRICES[name]
+    width = len(weights["A"])
+    numbers, totals = np.arange(4**width), np.zeros(4**width)
+    for k in range(width):
+        totals = totals + np.array([weights[b][k] for b in "ACGT"])[numbers // 4 ** (width - 1 - k) % 4]
+    return (np.round(totals, 6) >= threshold).astype(np.uint8)
+
+
+def motif_feature(m: dict[str, Column], finders: list, counted: Column | None = None) -> dict[str, Column]:
     """n_old, n_lost, n_gained over several finders of hits, and their shares `lost` and `gained`.
 
     n_old counts hits in the whole mutated chunk, lost and gained the places of
-    the window that are hits before or after the change only.
+    the window that are hits before or after the change only. Where n_old is
+    known, as `counted`, only the window is searched.
     """
     totals = [F.lit(0), F.lit(0), F.lit(0)]
     for find in finders:
         lost, gained = lost_gained(find(window(m, "ref")), find(window(m, "alt")))
-        totals = [a + b for a, b in zip(totals, [F.size(find(exon_old(m))), lost, gained])]
+        totals = [a + b for a, b in zip(totals, [F.lit(0) if counted is not None else F.size(find(exon_old(m))), lost, gained])]
+    totals[0] = totals[0] if counted is None else counted
     n_old, n_lost, n_gained = [F.when(m["ref"].isNotNull(), t) for t in totals]
     return {"n_old": n_old, "n_lost": n_lost, "n_gained": n_gained, "lost": share(n_lost, n_old), "gained": share(n_gained, n_old)}
 

@@ -7,17 +7,22 @@ a transcript.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.genetics import is_synonymous, on_strand, reverse_complement, swapped, translated
 from varloom.functions.sequence import mutation_string
 from varloom.operators.intervals import best_per, cds_offset, cds_position, point_in_interval, premrna_offset, segment_offsets, unique_per
-from varloom.sources.genome import CHUNK, regions, windows
+from varloom.sources.genome import CHUNK, counted, regions, turned_words, windows
+from varloom.support import stored
 
 #: Bases fetched on either side of a mutated exon; more than any feature looks at.
 FLANK = 60
 
+# The words by which CpG is counted, as tables by the number of the word; they are alike on both strands.
+CPG_WORDS = {"n_cg": [(np.arange(16) == 6).astype(np.uint8)], "n_c": [(np.arange(4) == 1).astype(np.uint8)], "n_g": [(np.arange(4) == 2).astype(np.uint8)]}
+
 # The codons that end a coding sequence.
 STOPS = ["TAA", "TAG", "TGA"]
 
@@ -207,13 +212,17 @@ def mutated_exons(hits: DataFrame, chunks: DataFrame, size: int = CHUNK, flank:
     )
 
 
-def mutated_surroundings(hits: DataFrame, chunks: DataFrame, size: int = CHUNK, flank: int = FLANK) -> DataFrame:
+def mutated_surroundings(hits: DataFrame, chunks: DataFrame, size: int = CHUNK, flank: int = FLANK, words: dict[str, list[np.ndarray]] | None = None) -> DataFrame:
     """mutated_exons() without the exon's text: head, tail, before and after hold no more than `flank` bases round the change.
 
     Beside them are head_length and tail_length of the whole exon, its counts
     n_cg, n_c, n_g and n, and head_plain, whether the whole head is capital
-    bases. An exon is fetched and counted once, and no row carries its text.
+    bases; and for each name of `words`, tables as counted() takes them, how
+    often these words are in the whole exon in reading direction. Exons are
+    counted from their ends, and no row carries an exon's text.
     """
+    words = words or {}
+    sides = CPG_WORDS | words | {f"{n}__minus": [turned_words(t) for t in several] for n, several in words.items()}
     offset = premrna_offset(F.col("pos"), F.col("tx_start"), F.col("tx_end"), F.col("strand"))
     edged = hits.withColumn("edges", exon_edges()).withColumn("premrna_offset", offset)
     cut = F.size(F.filter("edges", lambda e: e <= F.col("premrna_offset"))) - 1
@@ -221,19 +230,17 @@ def mutated_surroundings(hits: DataFrame, chunks: DataFrame, size: int = CHUNK,
     ranged = edged.withColumn("cut", cut).withColumn("cuts", cuts).withColumn("low", F.get("edges", F.col("cut"))).withColumn("high", F.get("edges", F.col("cut") + 1)).drop("edges")
     minus = F.col("strand") == "-"
     ranged = ranged.withColumn("start", F.when(minus, F.col("tx_end") - F.col("high")).otherwise(F.col("tx_start") + F.col("low"))).withColumn("end", F.col("start") + F.col("high") - F.col("low"))
-    wanted = ranged.select(F.col("chrom").alias("name"), "start", "end").distinct().withColumn("region_id", F.xxhash64("name", "start", "end"))
-    exons = regions(chunks, wanted, size).select(F.col("name").alias("chrom"), "start", "end", F.upper("seq").alias("seq"))
-    count = lambda word: ((F.length("seq") - F.length(F.replace("seq", F.lit(word), F.lit("")))) / len(word)).cast("long")
-    other = {"first_other": F.expr("length(seq) - length(trim(LEADING 'ACGT' FROM seq))"), "last_other": F.expr("length(trim(TRAILING 'ACGT' FROM seq))")}
-    counted = exons.select("chrom", "start", "end", count("CG").alias("n_cg"), count("C").alias("n_c"), count("G").alias("n_g"), F.length("seq").cast("long").alias("n"), *[c.alias(k) for k, c in other.items()])
-    joined = ranged.join(counted, ["chrom", "start", "end"]).join(windows(chunks, hits.select("chrom", "pos"), flank, size), ["chrom", "pos"])
+    ranged = ranged.withColumns({"head_start": F.when(minus, F.col("pos")).otherwise(F.col("start")), "head_end": F.when(minus, F.col("end")).otherwise(F.col("pos") - 1)})
+    heads = ranged.select("chrom", F.col("head_start").alias("start"), F.col("head_end").alias("end"))
+    found = stored(counted(chunks, ranged.select("chrom", "start", "end").union(heads), sides, size))
+    plain = found.select("chrom", F.col("start").alias("head_start"), F.col("end").alias("head_end"), (F.col("n_other") == 0).alias("plain"))
+    joined = ranged.join(found, ["chrom", "start", "end"]).join(plain, ["chrom", "head_start", "head_end"], "left").join(windows(chunks, hits.select("chrom", "pos"), flank, size), ["chrom", "pos"])
     text = F.upper(F.when(minus, reverse_complement(F.col("around"))).otherwise(F.col("around")))
     turned = joined.withColumn("around", text)
     n_pre, n_post = F.least(F.lit(flank), F.col("premrna_offset")).cast("int"), F.least(F.lit(flank), F.col("tx_end") - F.col("tx_start") - F.col("premrna_offset") - 1).cast("int")
     pre, post = F.substring("around", flank + 1 - n_pre, n_pre), F.substring("around", F.lit(flank + 2), n_post)
     head_length, tail_length = F.col("premrna_offset") - F.col("low"), F.col("high") - F.col("premrna_offset") - 1
     n_head, n_tail = F.least(n_pre, head_length.cast("int")), F.least(n_post, tail_length.cast("int"))
-    plain = F.when(minus, F.col("last_other") <= F.col("pos") - F.col("start")).otherwise(F.col("first_other") >= F.col("pos") - F.col("start") - 1)
     return turned.select(
         *[c for c in hits.columns if c not in ("ref", "alt")],
         F.col("s_ref").alias("ref"),
@@ -244,8 +251,9 @@ def mutated_surroundings(hits: DataFrame, chunks: DataFrame, size: int = CHUNK,
         F.array(F.right(post, n_post - n_tail)).alias("after"),
         head_length.cast("long").alias("head_length"),
         tail_length.cast("long").alias("tail_length"),
-        plain.alias("head_plain"),
+        F.coalesce("plain", F.lit(True)).alias("head_plain"),
         *("n_cg", "n_c", "n_g", "n", "premrna_offset", "cut", "cuts"),
+        *[F.when(minus, F.col(f"{n}__minus")).otherwise(F.col(n)).alias(n) for n in words],
     )
 
 

@@ -10,22 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import genetics
+from varloom.functions import genetics, sequence
 from varloom.functions.registry import with_features
-from varloom.functions.sequence import cropped
 from varloom.operators import annotate, lookup, ranking, standardize
-from varloom.plans.sequence_queries import MATRIX, bases
+from varloom.plans.sequence_queries import MATRIX, MOTIFS, bases, with_motifs
 from varloom.plans.variant_queries import _AF, _TX, _VARIANTS, _chrom, clean_snvs
 from varloom.sources import variants as v
-from varloom.sources.genome import CHUNK
+from varloom.sources.genome import CHUNK, PARTS
 from varloom.sources.tables import stage
 from varloom.support import shared_dir, stored, table
 
 #: Families of the matrix; positions and domains come from the genome.
 FAMILIES = [f for f in MATRIX if f not in ("position", "domains")]
 
-#: Families of the report over the tables. Their exons are about 30,000 bases long, two hundred times real ones, so the
-#: families that search whole exons for motifs and splice sites are left to seq_feature_matrix and to smaller genomes.
+#: Families that need neither motif sets nor weight matrices; the report has all FAMILIES.
 QUICK = ["usage", "cpg", "pdg", "pvar"]
 
 #: Bases of a domain on either side of the change.
@@ -42,6 +40,7 @@ def stand_in_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = touched.withColumn("number", F.pmod(F.ascii("name") * 131 + F.length("name") * 17 + F.col("chunk_id") * 7, count).cast("int"))
     whole = F.rpad("seq", F.lit(CHUNK), F.col("seq"))
     made = chunks.join(F.broadcast(numbered.filter("seq <> ''")), "number").select("name", "chunk_id", whole.alias("seq"))
+    made = made.repartition(PARTS * spark.sparkContext.defaultParallelism, "name", "chunk_id")
     return stage(made, shared_dir(spark, "genome"))
 
 
@@ -82,21 +81,35 @@ def pipe_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(hits: DataFrame, chunks: DataFrame, families: list[str]) -> DataFrame:
     """variant_id, gene, tx, chrom, pos and g_ref, g_alt of the hits with the features of each change, nulls as 0.
 
-    The families that look for motifs need the columns of with_motifs() in hits.
-    Where all families are among QUICK, exons are counted and not carried along.
+    The family that looks for motifs needs the columns of with_motifs() in hits.
+    Where all families are among FAMILIES, exons are counted and not carried
+    along: lost and gained hits and changed splice sites lie round the change,
+    and of the rest of the exon only the numbers of hits and bases are needed.
     """
     ids = ["variant_id", "gene", "tx", "chrom", "pos", "g_ref", "g_alt"]
-    local = set(families) <= set(QUICK)
-    fetch = annotate.mutated_surroundings if local else annotate.mutated_exons
-    exons = fetch(hits.withColumn("g_ref", F.col("ref")).withColumn("g_alt", F.col("alt")), chunks)
-    cut = dict(zip(("fold_pre", "fold_post"), cropped(F.concat(F.get("before", F.lit(0)), "head"), F.concat("tail", F.get("after", F.lit(0))), DOMAIN)))
+    local = set(families) <= set(FAMILIES)
+    # the sets are alike in all rows, so they are taken from one and not shuffled with the hits
+    widths = {f"bits_{name}": width for name, _, width in MOTIFS if f"bits_{name}" in hits.columns}
+    bits = {c: hits.select(c).limit(1).scalar() for c in widths}
+    fetched = hits.drop(*widths).withColumn("g_ref", F.col("ref")).withColumn("g_alt", F.col("alt"))
+    exons = annotate.mutated_surroundings(fetched, chunks, words=_words(hits, widths, families)) if local else annotate.mutated_exons(fetched, chunks)
+    cut = dict(zip(("fold_pre", "fold_post"), sequence.cropped(F.concat(F.get("before", F.lit(0)), "head"), F.concat("tail", F.get("after", F.lit(0))), DOMAIN)))
     places = annotate.places_in_transcript(*map(F.col, ("head_length", "tail_length"))) if local else annotate.places_in_transcript()
-    families = ["cpg_counted" if local and f == "cpg" else f for f in families]
-    made = places | cut | {"seq": F.col("codon"), "offset": F.col("frame"), "raw_head": F.col("head")}
+    families = [f"{f}_counted" if local and f in ("cpg", "matrices", "motifs") else f for f in families]
+    made = places | cut | {"seq": F.col("codon"), "offset": F.col("frame"), "raw_head": F.col("head")} | bits
     ready = exons.select(*[c for c in exons.columns if c not in ("codon", "frame", "is_synonymous")], *[c.alias(n) for n, c in made.items()])
     return with_features(ready, [*ids, "gerp", "f_premrna", "f_mrna"], families).na.fill(0)
 
 
+def _words(hits: DataFrame, widths: dict[str, int], families: list[str]) -> dict[str, list]:
+    """The tables of words whose hits in whole exons the families need, by the name of their count."""
+    out = {"n_sr": [sequence.matrix_words(n) for n in sorted(sequence.MATRICES)]} if "matrices" in families else {}
+    if "motifs" in families:
+        one = hits.select(*widths).first()
+        out |= {f"n_{c.removeprefix('bits_')}": [sequence.motif_words(one[c] if one else None, w)] for c, w in widths.items()}
+    return out
+
+
 def ranked_report(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     """The ranked report of a matrix: standardized against the rows of label 0, scored by the linear discriminant, ranked and labelled.
 
@@ -120,7 +133,8 @@ def pipe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     chunks = stand_in_genome(spark, sf_dir)
     labels = table(spark, sf_dir, "variants").select("variant_id", (~F.coalesce(F.col("filt") == "PASS", F.lit(False))).cast("int").alias("label"))
-    return ranked_report(feature_matrix(stored(_rare(spark, sf_dir, chunks)), chunks, QUICK), labels)
+    hits = with_motifs(spark, sf_dir, stored(_rare(spark, sf_dir, chunks)))
+    return ranked_report(feature_matrix(hits, chunks, FAMILIES), labels)
 
 
 QUERIES = {f.__name__: f for f in (pipe_codons, pipe_synonymous, pipe_rare, pipe_report)}

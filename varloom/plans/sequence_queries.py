@@ -91,16 +91,16 @@ def _motif_features() -> dict[str, Column]:
     return out
 
 
-def _motif_counts() -> dict[str, Column]:
+def _motif_counts(counted: bool = False) -> dict[str, Column]:
     out = {}
     for name, _, width in MOTIFS:
-        f = sequence.motif_feature(parts(), [sequence.motif_hits(f"bits_{name}", width)])
+        f = sequence.motif_feature(parts(), [sequence.motif_hits(f"bits_{name}", width)], F.col(f"n_{name}") if counted else None)
         out |= {f"{name}_n_{k}": f[f"n_{k}"] for k in ("old", "lost", "gained")}
     return out
 
 
-def _matrix_counts() -> dict[str, Column]:
-    f = sequence.motif_feature(parts(), [sequence.matrix_hits(n) for n in sorted(sequence.MATRICES)])
+def _matrix_counts(counted: bool = False) -> dict[str, Column]:
+    f = sequence.motif_feature(parts(), [sequence.matrix_hits(n) for n in sorted(sequence.MATRICES)], F.col("n_sr") if counted else None)
     return {f"sr_n_{k}": f[f"n_{k}"] for k in ("old", "lost", "gained")}
 
 
@@ -201,6 +201,8 @@ def folding(scorer: Callable[[Column], Column], name: str) -> Family:
 for family in (
     Family("motifs", _motif_features, [_motif_counts]),
     Family("matrices", _matrix_features, [_matrix_counts]),
+    Family("motifs_counted", _motif_features, [lambda: _motif_counts(True)]),
+    Family("matrices_counted", _matrix_features, [lambda: _matrix_counts(True)]),
     Family("cpg", _cpg_features, [lambda: {"exon": sequence.exon_old(parts())}]),
     Family("cpg_counted", _counted_cpg_features),
     Family("position", _position_features),

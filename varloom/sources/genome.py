@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.support import small
+from varloom.support import small, stored
 
 # The signature of a packed file and the bases of its two-bit codes.
 SIGNATURE, CODES = 0x1A412743, np.frombuffer(b"TCAG", dtype=np.uint8)
@@ -19,6 +19,16 @@ SIGNATURE, CODES = 0x1A412743, np.frombuffer(b"TCAG", dtype=np.uint8)
 #: Bases of a chunk row, and chunks that one read takes from a file at a time.
 CHUNK, READ = 1 << 16, 64
 
+#: Tasks for each core where every chunk is gone through.
+PARTS = 4
+
+# The digit of each letter in the number of a word, 4 for what is no base.
+DIGITS = np.full(256, 4, dtype=np.int64)
+DIGITS[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+
+# Bits of one of the three counts that are summed in one number.
+FIELD = 21
+
 
 def _opened(path: str):
     from pyarrow import fs
@@ -148,17 +158,106 @@ def windows(chunks: DataFrame, places: DataFrame, radius: int, size: int = CHUNK
 
     at = F.collect_set((F.col("pos") - 1 - F.col("chunk_id") * size).cast("int")).alias("at")
     asked = places.filter("chrom IS NOT NULL AND pos >= 1").select("chrom", F.col("pos").cast("long").alias("pos"), F.floor((F.col("pos") - 1) / size).cast("long").alias("chunk_id")).groupBy("chrom", "chunk_id").agg(at)
-    rows = chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), "seq").join(asked, ["chrom", "chunk_id"])
-    if radius:
-        edges = small(chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), F.left("seq", F.lit(radius)).alias("first"), F.right("seq", F.lit(radius)).alias("last")))
-        before = edges.select("chrom", (F.col("chunk_id") + 1).alias("chunk_id"), F.col("last").alias("left"))
-        after = edges.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"), F.col("first").alias("right"))
-        rows = rows.join(before, ["chrom", "chunk_id"], "left").join(after, ["chrom", "chunk_id"], "left")
-    else:
-        rows = rows.withColumns({"left": F.lit(""), "right": F.lit("")})
+    rows = spread_out(chunks).join(asked, ["chrom", "chunk_id"])
+    rows = _edged(rows, chunks, radius) if radius else rows.withColumns({"left": F.lit(""), "right": F.lit("")})
     return rows.select("chrom", "chunk_id", "seq", "left", "right", "at").mapInArrow(cut, "chrom string, pos long, around string")
 
 
+def spread_out(chunks: DataFrame) -> DataFrame:
+    """(chrom, chunk_id, seq) of the chunks, dealt to all cores: their text shrinks so well that adaptive execution would put all of it into a few tasks."""
+    named = chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), "seq")
+    return named.repartition(PARTS * chunks.sparkSession.sparkContext.defaultParallelism, "chrom", "chunk_id")
+
+
+def _edged(rows: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
+    """rows (chrom, chunk_id, ...) with left and right, the `radius` bases of the neighbours next to each chunk."""
+    edges = small(chunks.select(F.col("name").alias("chrom"), F.col("chunk_id").cast("long").alias("chunk_id"), F.left("seq", F.lit(radius)).alias("first"), F.right("seq", F.lit(radius)).alias("last")))
+    before = edges.select("chrom", (F.col("chunk_id") + 1).alias("chunk_id"), F.col("last").alias("left"))
+    after = edges.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"), F.col("first").alias("right"))
+    return rows.join(before, ["chrom", "chunk_id"], "left").join(after, ["chrom", "chunk_id"], "left")
+
+
+def word_width(words: np.ndarray) -> int:
+    """The width of the words of a table of 4 ** width entries."""
+    return (len(words).bit_length() - 1) // 2
+
+
+def turned_words(words: np.ndarray) -> np.ndarray:
+    """The table of words for the other strand: each word has the entry of its reverse complement."""
+    left, turned = np.arange(len(words)), np.zeros(len(words), dtype=np.int64)
+    for _ in range(word_width(words)):
+        left, turned = left // 4, turned * 4 + 3 - left % 4
+    return words[turned]
+
+
+def counted(chunks: DataFrame, ranges: DataFrame, words: dict[str, list[np.ndarray]], size: int = CHUNK) -> DataFrame:
+    """The distinct ranges (chrom, start, end), 0-based and with the end left out, with how often each of the words lies in them.
+
+    `words` has by name tables of how often a word counts (0 to 15), by the
+    word's number, whose digits are its bases in the order ACGT. Beside their
+    columns are n, the letters that the genome has there, and n_other, those
+    that are no bases. Every chunk that a range touches is gone through once,
+    whatever the number of ranges: a range's counts are the difference of the
+    running counts at its two ends.
+    """
+    alike_width = {(name, word_width(t)): sum(x.astype(np.int64) for x in several if len(x) == len(t)) for name, several in words.items() for t in several}
+    tables = [(name, w, t) for (name, w), t in alike_width.items()]
+    groups = []
+    for width in sorted({w for _, w, _ in tables}):
+        alike = [(name, t) for name, w, t in tables if w == width]
+        for three in (alike[i : i + 3] for i in range(0, len(alike), 3)):
+            groups.append((width, [name for name, _ in three], sum(t << (FIELD * k) for k, (_, t) in enumerate(three))))
+    names, reach = ["n", "n_other", *words], max([w for _, w, _ in tables], default=1) - 1
+    if size + 2 * reach >= 1 << (FIELD - 4) or reach > size:
+        raise ValueError("chunks are too large for the counts, or smaller than a word")
+
+    def counts(text: str, length: int, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+        """What begins before each start, what ends with each end or before, and what begins in the chunk at all; less than 0 where words of the chunk before are in it."""
+        digits = DIGITS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        other = np.concatenate([[0], np.cumsum(digits > 3)])
+        starts, ends = np.minimum(starts, length), np.minimum(ends, length)
+        at = np.concatenate([starts, ends, [length]])
+        out = {name: np.zeros(len(at), np.int64) for name in words} | {"n": at, "n_other": other[at + reach] - other[reach]}
+        numbers, width = np.minimum(digits, 3), 1
+        for w, in_group, table in groups:
+            while width < w:
+                numbers, width = numbers[:-1] * 4 + np.minimum(digits[width:], 3), width + 1
+            hits = table[numbers]
+            if other[-1]:
+                hits[other[w:] > other[:-w]] = 0
+            sums = np.concatenate([[0], np.cumsum(hits)])
+            found = sums[np.concatenate([starts, ends - (w - 1), [length]]) + reach]
+            for k, name in enumerate(in_group):
+                out[name] += (found >> (FIELD * k) & ((1 << FIELD) - 1)) - (int(sums[reach]) >> (FIELD * k) & ((1 << FIELD) - 1))
+        return out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, chunk, seq, left, right, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("chrom", "chunk_id", "seq", "left", "right", "starts", "ends"))):
+                seq = (seq or "").upper()
+                beside = "N" * reach if len(seq) < size else f"{(right or '').upper():N<{reach}}"
+                made = counts(f"{(left or '').upper():N>{reach}}{seq}{beside}", len(seq), np.array(starts, np.int64), np.array(ends, np.int64))
+                at = pa.array([chunk * size + x for x in (*starts, *ends)] + [None], pa.int64())
+                is_end = pa.array([False] * len(starts) + [True] * len(ends) + [None], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([chunk] * len(at), pa.int64()), at, is_end, *[pa.array(made[n]) for n in names]], names=["chrom", "chunk_id", "at", "is_end", *names])
+
+    wanted = ranges.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start < end").distinct()
+    first, last = F.floor(F.col("start") / size).cast("long"), F.floor((F.col("end") - 1) / size).cast("long")
+    spread = wanted.withColumn("chunk_id", F.explode(F.sequence(first, last)))
+    mark = lambda c, here: F.collect_set(F.when(here == F.col("chunk_id"), (F.col(c) - F.col("chunk_id") * size).cast("int"))).alias(f"{c}s")
+    asked = spread.groupBy("chrom", "chunk_id").agg(mark("start", first), mark("end", last))
+    rows = asked.join(spread_out(chunks), ["chrom", "chunk_id"], "left")
+    schema = ", ".join(["chrom string, chunk_id long, at long, is_end boolean", *[f"`{n}` long" for n in names]])
+    rows = _edged(rows, chunks, reach) if reach else rows.withColumns({"left": F.lit(""), "right": F.lit("")})
+    found = stored(rows.select("chrom", "chunk_id", "seq", "left", "right", "starts", "ends").mapInArrow(cut, schema))
+    earlier = Window.partitionBy("chrom").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    totals = found.filter("at IS NULL").select("chrom", "chunk_id", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__{n}") for n in names])
+    running = found.filter("at IS NOT NULL").join(totals, ["chrom", "chunk_id"]).select("chrom", "at", "is_end", *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
+    side = lambda is_end, c: running.filter(F.col("is_end") == is_end).select("chrom", F.col("at").alias(c), *[F.col(n).alias(f"__{c}_{n}") for n in names])
+    both = wanted.join(side(False, "start"), ["chrom", "start"]).join(side(True, "end"), ["chrom", "end"])
+    return both.select("chrom", "start", "end", *[F.greatest(F.lit(0), F.col(f"__end_{n}") - F.col(f"__start_{n}")).alias(n) for n in names])
+
+
 def fasta(found: DataFrame, width: int = 60) -> DataFrame:
     """(region_id, record): each region as a FASTA record, its bases in lines of `width`."""
     lines = F.regexp_replace("seq", rf"(.{{{width}}})(?=.)", "$1\n")
